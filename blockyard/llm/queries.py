@@ -2,23 +2,47 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import PATTERN, encode_decode, with_digests
 from .interpolated_lm import score_texts
 from .jaccard_join import jaccard_join
 from .quality_rules import quality_rules
+from .secret_scan import find_secrets, secret_digests
+from .token_files import round_trip
+
+
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file; the environment may name another folder."""
+    folder = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+    return os.path.join(folder, name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("byte_bpe_50k.json"))
+    return with_digests(coded).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secret_digests(find_secrets(docs, vocabulary("byte_bpe_50k.tiktoken"), PATTERN))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("digest", "lang")
 
@@ -28,7 +52,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe_lexicon": op1_bpe_lexicon,
     "op2_deleted_interpolation": op2_deleted_interpolation,
+    "op5_secret_scan": op5_secret_scan,
+    "op8_token_files": op8_token_files,
     "op9_quality_rules": op9_quality_rules,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }

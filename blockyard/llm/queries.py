@@ -6,10 +6,14 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .ann import nearest
 from .bpe import PATTERN, encode_decode, with_digests
+from .chat_rotation import rotate
 from .interpolated_lm import score_texts
 from .jaccard_join import jaccard_join
+from .pfair_mix import mix
 from .quality_rules import quality_rules
 from .secret_scan import find_secrets, secret_digests
 from .token_files import round_trip
@@ -39,6 +43,19 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(find_secrets(docs, vocabulary("byte_bpe_50k.tiktoken"), PATTERN))
 
 
+def op4_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+def op6_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = F.transform("mask", lambda m: F.concat_ws(":", m["start"].cast("string"), m["end"].cast("string")))
+    return rotate(table(spark, sf_dir, "conversations")).withColumn("mask", F.array_join(told, ","))
+
+
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -54,10 +71,32 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_lexicon": op1_bpe_lexicon,
     "op2_deleted_interpolation": op2_deleted_interpolation,
+    "op4_pfair_mix": op4_pfair_mix,
+    "op6_chat_rotation": op6_chat_rotation,
+    "op7_ann": op7_ann,
     "op5_secret_scan": op5_secret_scan,
     "op8_token_files": op8_token_files,
     "op9_quality_rules": op9_quality_rules,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_chat_rotation": r"""
+with t as (
+  select conv_id, turn, floor(turn / 64)::bigint as chunk,
+    replace(replace(coalesce(role, 'unknown'), '<|im_start|>', '< |im_start| >'), '<|im_end|>', '< |im_end| >') as role,
+    replace(replace(coalesce(text, ''), '<|im_start|>', '< |im_start| >'), '<|im_end|>', '< |im_end| >') as text
+  from conversations),
+o as (select *, row_number() over (partition by conv_id, chunk order by turn nulls last, role, text) - 1 as pos from t),
+p as (select distinct conv_id, role as speaker from t where role <> 'system'),
+s as (
+  select o.conv_id, speaker, chunk, floor(pos / 64)::bigint as part, pos, role = speaker as own,
+    '<|im_start|>' || case when role = speaker then 'assistant' when role = 'system' then 'system' else 'user name=' || role end || chr(10) as head,
+    text || '<|im_end|>' as body
+  from o join p on o.conv_id = p.conv_id),
+m as (select *, sum(length(head) + length(body) + 1) over (partition by conv_id, speaker, chunk, part order by pos) as stop from s)
+select conv_id, speaker, chunk, part, count(*)::int as n_turns,
+  string_agg(head || body || chr(10), '' order by pos) as rendered,
+  coalesce(string_agg((stop - 1 - length(body))::bigint::varchar || ':' || (stop - 1)::bigint::varchar, ',' order by pos) filter (own), '') as mask
+from m group by conv_id, speaker, chunk, part""",
+}

@@ -17,6 +17,7 @@ from .pfair_mix import mix
 from .quality_rules import quality_rules
 from .secret_scan import find_secrets, secret_digests
 from .token_files import round_trip
+from .weak_labels import quality_classifier
 
 
 def vocabulary(name: str) -> str:
@@ -43,6 +44,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(find_secrets(docs, vocabulary("byte_bpe_50k.tiktoken"), PATTERN))
 
 
+def op3_weak_label_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier(table(spark, sf_dir, "documents"))
+
+
 def op4_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
@@ -71,6 +76,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_lexicon": op1_bpe_lexicon,
     "op2_deleted_interpolation": op2_deleted_interpolation,
+    "op3_weak_label_classifier": op3_weak_label_classifier,
     "op4_pfair_mix": op4_pfair_mix,
     "op6_chat_rotation": op6_chat_rotation,
     "op7_ann": op7_ann,

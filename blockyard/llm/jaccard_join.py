@@ -213,3 +213,13 @@ def jaccard_join(docs: DataFrame, threshold: tuple[int, int] = (4, 5), shingle:
     return sketched.select("doc_id", "node", F.col("n").cast("long").alias("n_shingles")).join(classes, "node", "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(0)).alias("n_copies"), "n_shingles"
     )
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` but for those in a class with a smaller doc_id, and for copies of one doc_id within a class.
+
+    A row without shingles stays. A null doc_id stays only where no other row of its class has an id.
+    """
+    joined = jaccard_join(docs, **options)
+    gone = joined.filter("class_id is not null and not (doc_id <=> class_id)").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")

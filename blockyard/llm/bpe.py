@@ -40,7 +40,7 @@ def _members(kind: str) -> str:
 _L, _N, _S = _members(r"\p{L}"), _members(r"\p{N}"), _members(r"\s")
 _FAST = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 _BEYOND = re.compile("[^\x00-ſ]")
-MOST_CACHED = 400_000
+MOST_CACHED = 250_000
 
 
 @functools.cache
@@ -132,6 +132,50 @@ class Vocabulary:
         return [x for x in ids if x >= 0]
 
 
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of single bytes; merges as sorted pair codes with rank and merged id."""
+        if not hasattr(self, "_tables"):
+            n = len(self.pieces)
+            rows = sorted((a * n + b, rank, new) for (a, b), (rank, new) in self.merges.items())
+            self._tables = (np.array(self.bytes_to_id, np.int64), *(np.array(c, np.int64) for c in zip(*rows)))
+        return self._tables
+
+    def merge_many(self, words: list[bytes]) -> list[bytes]:
+        """``merge`` for many words side by side, each result as little-endian 32-bit ids."""
+        single, keys, ranks, merged = self.tables()
+        none, n = len(keys) + 1, len(self.pieces)
+        long = {i: np.array(self.merge(w), "<i4").tobytes() for i, w in enumerate(words) if len(w) > 48 or not w}
+        lens = np.array([0 if i in long else len(w) for i, w in enumerate(words)], np.int64)
+        ids = single[np.frombuffer(b"".join(w for i, w in enumerate(words) if i not in long), np.uint8)]
+        word = np.repeat(np.arange(len(words)), lens)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(ids):
+            code = np.empty(len(ids), np.int64)
+            code[:-1] = np.where(word[:-1] == word[1:], ids[:-1] * n + ids[1:], -1)
+            code[-1] = -1
+            at = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
+            rank = np.where(keys[at] == code, ranks[at], none)
+            first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            size = np.diff(np.append(first, len(ids)))
+            best = np.repeat(np.minimum.reduceat(rank, first), size)
+            ended = best == none
+            done.append((word[ended], ids[ended]))
+            hit = (rank == best) & ~ended
+            # In a run of overlapping pairs every second one is merged, from the left.
+            edge = np.flatnonzero(hit & ~np.concatenate(([False], hit[:-1])))
+            where = np.flatnonzero(hit)
+            run = edge[np.searchsorted(edge, where, "right") - 1] if len(where) else where
+            where = where[(where - run) % 2 == 0]
+            ids[where] = merged[at[where]]
+            keep = ~ended
+            keep[where + 1] = False
+            word, ids = word[keep], ids[keep]
+        word, ids = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*done) if done else ((), ())))
+        by = np.argsort(word, kind="stable")
+        flat, stop = ids[by].astype("<i4").tobytes(), np.cumsum(np.bincount(word, minlength=len(words))) * 4
+        return [long.get(i, flat[a:b]) for i, (a, b) in enumerate(zip([0, *stop[:-1].tolist()], stop.tolist()))]
+
+
 def minimal_automaton(words: list[bytes]) -> tuple[list[list[tuple[int, int]]], list[bool]]:
     """Edges (label, target) and finality of each state of the smallest automaton for sorted, distinct words; the root is last."""
     edges: list[list[tuple[int, int]]] = []
@@ -227,13 +271,27 @@ class Coder:
     def encode(self, docs: DataFrame) -> DataFrame:
         """Adds ids (array<int>); all columns of ``docs`` stay, an older column ids is replaced."""
         docs = docs.drop("ids")
+        return docs.mapInArrow(self._encoder(), _schema(docs, "ids array<int>"))
+
+    def decode(self, rows: DataFrame) -> DataFrame:
+        """Adds decoded (string), the text of the column ids; all columns stay, an older column decoded is replaced."""
+        rows = rows.drop("decoded")
+        return rows.mapInArrow(self._decoder(), _schema(rows, "decoded string"))
+
+    def both(self, docs: DataFrame) -> DataFrame:
+        """``encode``, then ``decode``, in one pass of the same worker."""
+        docs = docs.drop("ids", "decoded")
+        encode, decode = self._encoder(), self._decoder()
+        return docs.mapInArrow(lambda batches: decode(encode(batches)), _schema(docs, "ids array<int>, decoded string"))
+
+    def _encoder(self):
         coder = self
 
         def run(batches):
             special = coder.vocabulary.value.special
             cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
             cache = _cache(coder)
-            for batch in tn.slices(batches, 1 << 22):
+            for batch in tn.slices(batches, 1 << 21):
                 texts = []
                 for text in batch.column("text").to_pylist():
                     parts = cut.split(text or "") if cut and any(s in (text or "") for s in special) else [text or ""]
@@ -244,11 +302,9 @@ class Coder:
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(each))]))
                 yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, "ids"])
 
-        return docs.mapInArrow(run, _schema(docs, "ids array<int>"))
+        return run
 
-    def decode(self, rows: DataFrame) -> DataFrame:
-        """Adds decoded (string), the text of the column ids; all columns stay, an older column decoded is replaced."""
-        rows = rows.drop("decoded")
+    def _decoder(self):
         coder = self
 
         def run(batches):
@@ -270,7 +326,7 @@ class Coder:
                     texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip([0, *ends[:-1]], ends)]
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
 
-        return rows.mapInArrow(run, _schema(rows, "decoded string"))
+        return run
 
 
 class _Special(str):
@@ -286,24 +342,30 @@ class _Special(str):
 
 
 class _Cache(dict):
-    """Ids of the words met by one worker, as bytes; emptied when full."""
+    """Ids of the words met by one worker, as bytes; when full, what is not met again goes."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
         super().__init__()
-        self.vocabulary, self.lexicon = vocabulary, lexicon
+        self.vocabulary, self.lexicon, self.older = vocabulary, lexicon, {}
 
     def fill(self, words: set[str]) -> None:
         if len(self) > MOST_CACHED:
+            self.older = dict(self)
             self.clear()
-        new = [w for w in words if w not in self]
+        new = words - self.keys()
+        self.update((w, self.older[w]) for w in new & self.older.keys())
+        new = list(new - self.older.keys())
         raw = [w.encode() for w in new]
+        unseen = []
+        ids, starts = self.lexicon.ids, self.lexicon.starts
         for word, own, number in zip(new, raw, self.lexicon.numbers(raw).tolist()):
             if isinstance(word, _Special):
                 self[word] = np.array([self.vocabulary.special[str(word)]], "<i4").tobytes()
             elif number >= 0:
-                self[word] = self.lexicon.ids[self.lexicon.starts[number] : self.lexicon.starts[number + 1]].tobytes()
+                self[word] = ids[starts[number] : starts[number + 1]].tobytes()
             else:
-                self[word] = np.array(self.vocabulary.merge(own), "<i4").tobytes()
+                unseen.append((word, own))
+        self.update(zip([w for w, _ in unseen], self.vocabulary.merge_many([o for _, o in unseen])))
 
 
 _CACHES: dict[str, _Cache] = {}
@@ -350,7 +412,7 @@ def build_coder(docs: DataFrame, tokenizer: str, most_words: int = 1 << 17, leas
     found = sorted(r["word"].encode() for r in often.select("word").collect())
     name = f"lexicon-{uuid.uuid4().hex}"
     path = os.path.join(tempfile.mkdtemp(prefix="spark-lexicon-"), name)
-    Lexicon.write(path, found, [vocabulary.merge(w) for w in found])
+    Lexicon.write(path, found, [np.frombuffer(x, np.int32).tolist() for x in vocabulary.merge_many(found)])
     spark.sparkContext.addFile(path)
     return Coder(spark.sparkContext.broadcast(vocabulary), name)
 
@@ -363,7 +425,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
     pass through; columns named ids or decoded are replaced. An empty table gives an empty result.
     """
     coder = build_coder(docs, tokenizer, **options)
-    return coder.decode(coder.encode(docs))
+    return coder.both(docs)
 
 
 def with_digests(coded: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import json
 import re
 import unicodedata
 import uuid
-import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .bpe import _BEYOND, _L, _N, _S
+from .bpe import _BEYOND, _L, _N, _S, _byte_letters
 from .scratch import shared_folder
 
 _FAST = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 _ALL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-MOST_CACHED = 400_000
+MOST_CACHED = 300_000
 BLOCK_IDS = 1 << 22
 LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
@@ -48,9 +48,11 @@ class WordEncoder:
         whole = json.loads(spec)
         self.special = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in whole["added_tokens"]}
         self.library = Tokenizer.from_str(spec)
-        self.words = Tokenizer.from_str(json.dumps(whole | {"added_tokens": [], "normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}))
+        self.model = self.library.model
+        self.letters = {b: c for c, b in _byte_letters().items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
         if not _BEYOND.search(text):  # the normalizer only lowers these letters; white space is dropped anyway
@@ -60,6 +62,10 @@ class WordEncoder:
             return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
         return _ALL.findall(text)
 
+    def ids(self, word: str) -> bytes:
+        """One word by the library's model, which takes bytes as letters."""
+        return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = []
@@ -69,12 +75,9 @@ class WordEncoder:
             else:
                 split.append([self.split(text)])
         if len(self.cache) > MOST_CACHED:
-            self.cache.clear()
-        new = list(set().union(*(part for parts in split for part in parts if not isinstance(part, str))) - self.cache.keys())
-        for at in range(0, len(new), 4096):
-            words = new[at : at + 4096]
-            for word, own in zip(words, self.words.encode_batch_fast(words, add_special_tokens=False)):
-                self.cache[word] = np.array(own.ids, "<u4").tobytes()
+            self.cache, self.older = {}, self.cache
+        for word in set().union(*(part for parts in split for part in parts if not isinstance(part, str))) - self.cache.keys():
+            self.cache[word] = self.older.get(word) or self.ids(word)
         get = self.cache.__getitem__
         return [b"".join(self.special[part] if isinstance(part, str) else b"".join(map(get, part)) for part in parts) for parts in split]
 

@@ -15,6 +15,9 @@ from ..operators import links as li
 from ..operators import regions as re_
 from ..operators import requests as rq
 from ..operators import scoring as sc
+from ..operators import trees
+from ..operators.extract import extract_regions, page_text
+from .flagship import classify_pages, page_blocks
 from .derived import REQUESTS_SQL, label_run, label_run_sql, labelled, labelled_sql, regions, regions_sql, requests
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -538,3 +541,33 @@ def a4_capture_manifest(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     listed = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("site"), F.expr("case when n_chars > 3000 then 'relayout' else 'contained' end").alias("tier"))
     return li.capture_manifest(docs.filter("doc_id % 5 <> 0").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("regions")), listed)
+
+
+# ---------------------------------------------------------------- pages to blocks, and trees
+
+
+@query()
+def p1_page_regions(spark, sf_dir):
+    return extract_regions(read(spark, sf_dir, "pages"))
+
+
+@query()
+def p6_page_text(spark, sf_dir):
+    return page_text(read(spark, sf_dir, "pages"))
+
+
+@query()
+def x1_rule_cascade(spark, sf_dir):
+    return classify_pages(read(spark, sf_dir, "pages")).select("page_id", "idx", "type", "rule", "block", "slot", "disposition", "softened")
+
+
+@query()
+def flagship_page_blocks(spark, sf_dir):
+    return page_blocks(read(spark, sf_dir, "pages"))
+
+
+@query()
+def x5_boosted_trees(spark, sf_dir):
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").alias("features"))
+    model = trees.train(rows, "label", 64, trees.Options(rounds=3, depth=3))
+    return trees.predict(rows, model).select("vec_id", "label", "tree_type", "tree_conf")

@@ -13,6 +13,7 @@ from ..operators.requests import blocked_updates, decide_requests
 from ..sources.files import read_rule_sets, rule_tables
 
 LATE = "10 seconds"
+SILENCE_MS = 3_600_000
 
 
 def decide_requests_stream(stream: DataFrame, rules_path: str, out_path: str, checkpoint: str, filters: DataFrame | None = None, allowlist: DataFrame | None = None):
@@ -26,7 +27,7 @@ def decide_requests_stream(stream: DataFrame, rules_path: str, out_path: str, ch
 
 
 def tab_counters_stream(events: DataFrame) -> DataFrame:
-    """(tab_id, nav_no, requests, blocked) after each batch; a navigation starts new counters. State is three numbers per tab and goes after an hour of silence."""
+    """(tab_id, nav_no, requests, blocked) after each batch; a navigation starts new counters. State is three numbers per tab and goes when event time is an hour past the tab's last event; rows later than ten seconds may be dropped."""
 
     def count(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -42,10 +43,11 @@ def tab_counters_stream(events: DataFrame) -> DataFrame:
                 requests, blocked = requests + 1, blocked + int(cut)
                 out[nav] = (requests, blocked)
         state.update((nav, requests, blocked))
-        state.setTimeoutDuration(3_600_000)
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int(rows["ts"].max().timestamp() * 1000) + SILENCE_MS))
         yield pd.DataFrame([(key[0], n, r, b) for n, (r, b) in out.items()], columns=["tab_id", "nav_no", "requests", "blocked"])
 
-    return events.groupBy("tab_id").applyInPandasWithState(count, "tab_id long, nav_no long, requests long, blocked long", "nav long, requests long, blocked long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    keyed = events.withWatermark("ts", LATE).groupBy("tab_id")
+    return keyed.applyInPandasWithState(count, "tab_id long, nav_no long, requests long, blocked long", "nav long, requests long, blocked long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def blocked_updates_stream(events: DataFrame, every: str = "600 milliseconds") -> DataFrame:
@@ -86,7 +88,11 @@ def recent_log_stream(requests: DataFrame, n: int = 400) -> DataFrame:
 
 def to_memory(frame: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is available and give its result as a table; for tests and small jobs."""
-    frame.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    running = frame.writeStream.format("memory").queryName(name).outputMode(mode).start()
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
     return frame.sparkSession.table(name)
 
 

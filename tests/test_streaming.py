@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from blockyard.operators.requests import document_changes, tab_counters
 from blockyard.plans.derived import requests
@@ -8,7 +9,7 @@ from blockyard.streaming import jobs
 @pytest.fixture(scope="module")
 def events(spark, sf_dir, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("events"))
-    df = requests(spark, sf_dir).withColumnRenamed("request_id", "event_id")
+    df = requests(spark, sf_dir).withColumnRenamed("request_id", "event_id").withColumn("ts", F.col("ts").cast("timestamp"))
     df.coalesce(1).write.mode("overwrite").parquet(path)
     return df, spark.readStream.schema(df.schema).parquet(path)
 

@@ -10,7 +10,7 @@ def table(spark, n=300):
     return spark.createDataFrame([(i, [float(v) for v in r], str(c)) for i, (r, c) in enumerate(zip(x, y))], "id int, features array<double>, label string")
 
 
-ALL = Options(rounds=8, depth=3, row_share=1.1, column_share=1.0)
+ALL = Options(rounds=4, depth=3, rate=0.4, row_share=1.1, column_share=1.0)
 
 
 def test_fits_and_is_the_same_however_dealt(spark):
@@ -43,5 +43,5 @@ def test_out_of_fold(spark):
     from pyspark.sql import functions as F
 
     df = table(spark, 120)
-    out = cross_validate(df, "label", 3, 2, F.col("id") % 2, Options(rounds=3, depth=2))
+    out = cross_validate(df, "label", 3, 2, F.col("id") % 2, Options(rounds=2, depth=2, rate=0.4))
     assert out.count() == 120 and out.filter("tree_type = label").count() > 60

@@ -24,6 +24,7 @@ from .scratch import input_bytes, store
 END, BEGIN = np.uint64(0xE0D0E0D0E0D0E0D1), np.uint64(0xB0E0B0E0B0E0B0E3)
 WORD, PAIR = 0, 1
 BUCKETS = 24
+SHARES = 2  # blocks of a partition
 _FIRST, _SECOND = tn.odd(2, 29)
 
 
@@ -69,7 +70,7 @@ def _counted(key: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     out = [keys]
     for f in (0, 1):
         own, n = np.unique(key[fold == f], return_counts=True)
-        c = np.zeros(len(keys), np.int64)
+        c = np.zeros(len(keys), np.int32)
         c[np.searchsorted(keys, own)] = n
         out.append(c)
     return tuple(out)
@@ -82,8 +83,19 @@ def _added(found: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return none.astype(np.uint64), none, none
     key = np.concatenate([x[0] for x in found])
     by = np.argsort(key, kind="stable")
-    keys, first = np.unique(key[by], return_index=True)
-    return keys, *(np.add.reduceat(np.concatenate([x[i] for x in found])[by], first) if len(keys) else none for i in (1, 2))
+    key = key[by]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else none
+    return key[first], *(np.add.reduceat(np.concatenate([x[i] for x in found])[by], first, dtype=np.int64) if len(key) else none for i in (1, 2))
+
+
+def _places(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and each key's place among them, in 32 bits."""
+    by = np.argsort(key)
+    key = key[by]
+    new = np.concatenate(([True], key[1:] != key[:-1]))
+    at = np.empty(len(key), np.int32)
+    at[by] = np.cumsum(new, dtype=np.int32) - 1
+    return key[new], at
 
 
 def _requests(docs: DataFrame, parts: int) -> DataFrame:
@@ -94,17 +106,18 @@ def _requests(docs: DataFrame, parts: int) -> DataFrame:
     names = ["kind", "part", "use", "block", "keys", "kept", "deleted"]
 
     def ask(batches):
-        found: dict[tuple[int, int], list] = {}
-        block = 0
+        found: dict[tuple[int, int, int], list] = {}
         for batch in tn.slices(batches):
             token, before, row = tokens(batch)
-            fold, block = batch.column("fold").to_numpy()[row], batch.column("block")[0].as_py()
-            for kind, key in ((WORD, token), (PAIR, pairs(before, token))):
-                found.setdefault((kind, 0), []).append(_counted(key, fold))
-                own = np.unique(key[fold == 1])
-                found.setdefault((kind, 1), []).append((own, np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)))
-        for kind, use in list(found):
-            keys, kept, out = _added(found.pop((kind, use)))
+            every, blocks = batch.column("fold").to_numpy()[row], batch.column("block").to_numpy()[row]
+            for kind, every_key in ((WORD, token), (PAIR, pairs(before, token))):
+                for block in np.unique(blocks).tolist():
+                    key, fold = every_key[blocks == block], every[blocks == block]
+                    found.setdefault((block, kind, 0), []).append(_counted(key, fold))
+                    own = np.unique(key[fold == 1])
+                    found.setdefault((block, kind, 1), []).append((own, np.zeros(len(own), np.int32), np.zeros(len(own), np.int32)))
+        for block, kind, use in list(found):
+            keys, kept, out = _added(found.pop((block, kind, use)))
             cut = _ranges(keys, parts)
             for p in range(parts):
                 a, b = cut[p], cut[p + 1]
@@ -142,22 +155,23 @@ def _met(docs: DataFrame, answers: DataFrame, each, schema: str) -> DataFrame:
         parts: dict[int, list] = {WORD: [], PAIR: []}
         for row in sorted(found.select(["kind", "part", "counts"]).to_pylist(), key=lambda r: r["part"]):
             parts[row["kind"]].append(_unpacked(row["counts"]))
-        token, before, rows, base = [], [], [], 0
-        for batch in tn.slices(iter(texts.combine_chunks().to_batches())):
+        token, both, begins, rows, base = [], [], [], [], 0
+        for batch in tn.slices(iter(texts.to_batches()), 1 << 21):
             t, b, r = tokens(batch)
-            token.append(t), before.append(b), rows.append(r + base)
+            token.append(t), both.append(pairs(b, t)), begins.append(b == BEGIN), rows.append((r + base).astype(np.int32))
             base += batch.num_rows
-        token, before, rows = (np.concatenate(x) for x in (token, before, rows))
-        counts = {}
-        for kind, key in ((WORD, token), (PAIR, pairs(before, token))):
-            own, at = np.unique(key, return_inverse=True)
-            sums = np.concatenate(parts[kind])
+        begins, rows, counts = np.concatenate(begins), np.concatenate(rows), {}
+        for kind, held in ((WORD, token), (PAIR, both)):
+            key = np.concatenate(held)
+            held.clear()
+            own, at = _places(key)
+            del key
+            sums = np.concatenate(parts.pop(kind))
             if len(own) != len(sums):
                 raise RuntimeError("a block's texts changed between two scans: read them from stored files")
-            counts[kind] = sums[at]
+            counts[kind] = sums.astype(np.uint32 if sums.max() < 1 << 32 else np.int64)[at]
             if kind == WORD:
                 # A text begins as often as it ends.
-                begins = np.flatnonzero(before == BEGIN)
                 context = np.empty_like(counts[kind])
                 context[1:] = counts[kind][:-1]
                 context[begins] = sums[np.searchsorted(own, END)]
@@ -222,24 +236,29 @@ def score_texts(docs: DataFrame, fold: Column | None = None, range_bytes: int =
     ``fold`` is 2 for texts to keep out of training, 1 for the training slice that is deleted while weights are learned,
     else 0; by default crc32 of the doc_id decides. A null text is empty: its one token is the end. A null doc_id counts
     as the empty string for the fold. Without training texts every estimate is uniform. Repeated rows each count, and
-    other columns are ignored. ``docs`` is scanned twice and must not change; a block is one of its partitions.
+    other columns are ignored. ``docs`` is scanned twice and must not change; a block is a share of one of its partitions.
     """
     parts = max(1, -(-input_bytes(docs) // range_bytes))
-    texts = docs.select("doc_id", "text", (usual_fold() if fold is None else fold).cast("int").alias("fold"), F.spark_partition_id().alias("block"))
+    texts = docs.select("doc_id", "text", (usual_fold() if fold is None else fold).cast("int").alias("fold"), (F.spark_partition_id() * SHARES + F.pmod(F.xxhash64("doc_id", "text"), F.lit(SHARES)).cast("int")).alias("block"))
     answers = store(_answers(_requests(texts, parts)), "answers")
     total = answers.filter(F.col("kind") == WORD).agg(*(F.sum(c).alias(c) for c in ("n", "v", "n_kept", "v_kept"))).first().asDict()
     n, v, n_kept, v_kept = (int(total[c] or 0) for c in ("n", "v", "n_kept", "v_kept"))
     weights = learn(_events(texts, answers, n_kept, v_kept)) if n_kept else np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
 
     def each(table, rows, word, context, pair):
-        w = weights[bucket(context)]
-        p = w[:, 0] * pair / np.maximum(context, 1) + w[:, 1] * word / max(n, 1) + w[:, 2] / (v + 1)
-        base = np.log10((word + 0.1) / (n + 0.1 * (v + 1)))
         m = table.num_rows
-        count = lambda x=None: np.bincount(rows, x, minlength=m)
+        known, base, score = np.zeros(m, np.int64), np.zeros(m), np.zeros(m)
+        for at in range(0, len(rows), 1 << 18):
+            own = slice(at, at + (1 << 18))
+            r, c, u, cu = rows[own], word[own].astype(float), context[own].astype(float), pair[own].astype(float)
+            w = weights[bucket(u)]
+            p = w[:, 0] * cu / np.maximum(u, 1) + w[:, 1] * c / max(n, 1) + w[:, 2] / (v + 1)
+            np.add.at(known, r, c > 0)
+            base += np.bincount(r, np.log10((c + 0.1) / (n + 0.1 * (v + 1))), minlength=m)
+            score += np.bincount(r, np.log10(p), minlength=m)
         held = table.column("fold").to_numpy() == 2
         return pa.table(
-            [table.column("doc_id"), pa.array(held), pa.array(count()), pa.array(count(word > 0).astype(np.int64)), pa.array(np.full(m, n)), pa.array(count(base)), pa.array(count(np.log10(p)))],
+            [table.column("doc_id"), pa.array(held), pa.array(np.bincount(rows, minlength=m)), pa.array(known), pa.array(np.full(m, n)), pa.array(base), pa.array(score)],
             ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 

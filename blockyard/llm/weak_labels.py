@@ -162,7 +162,7 @@ def _train(sample: DataFrame, posterior: dict[int, float], rounds: int) -> np.nd
 def quality_classifier(docs: DataFrame, sample: int = 20_000, rounds: int = 25, threshold: float = 0.4) -> DataFrame:
     """One row per input row: doc_id, votes (one digit per labeller: 0 silent, 1 good, 2 bad), posterior, score, kept.
 
-    The scorer is fitted on the ``sample`` rows of smallest id hash, whose labels are posteriors; counts of patterns
+    The scorer is fitted on about ``sample`` rows, those of small hash, whose labels are posteriors; counts of patterns
     cover all rows, and all are scored. Null text is empty. Null and repeated ids, repeated rows and ties are rows like
     others; other columns are ignored; an empty table gives an empty result.
     """
@@ -180,7 +180,8 @@ def quality_classifier(docs: DataFrame, sample: int = 20_000, rounds: int = 25,
     codes = counts.pattern.to_numpy()
     good, _, _ = estimate(codes[:, None] // powers % 3, counts.n.to_numpy(float))
     posterior = dict(zip(codes.tolist(), good.tolist()))
-    chosen = texts.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(sample)
+    share = min(1.0, sample / float(counts.n.sum()))
+    chosen = texts.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1))
     w = spark.sparkContext.broadcast(_train(_scan(chosen.repartition(8), vote, "doc_id long, text string, pattern long"), posterior, rounds))
     table = spark.sparkContext.broadcast(posterior)
 

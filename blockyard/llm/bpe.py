@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
+from .scratch import store
 
 # The public pre-tokenizer's pattern, and the members of its classes below U+0180, where most European text lies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -408,8 +409,14 @@ def build_coder(docs: DataFrame, tokenizer: str, most_words: int = 1 << 17, leas
         yield flush()
 
     words = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    often = words.filter((F.col("n") >= least_count) & (F.octet_length("word") <= longest)).orderBy(F.desc("n"), "word").limit(most_words)
-    found = sorted(r["word"].encode() for r in often.select("word").collect())
+    often = store(words.filter((F.col("n") >= least_count) & (F.octet_length("word") <= longest)), "words")
+    # The least count whose words fit in the bound: a histogram decides, so no task ranks words for the driver.
+    above, floor = 0, 1 << 20
+    for r in often.groupBy(F.least("n", F.lit(floor)).alias("n")).agg(F.count("*").alias("words")).orderBy(F.desc("n")).collect():
+        if above + r["words"] > most_words:
+            break
+        above, floor = above + r["words"], r["n"]
+    found = sorted(r["word"].encode() for r in often.filter(F.col("n") >= floor).select("word").collect()) if above else []
     name = f"lexicon-{uuid.uuid4().hex}"
     path = os.path.join(tempfile.mkdtemp(prefix="spark-lexicon-"), name)
     Lexicon.write(path, found, [np.frombuffer(x, np.int32).tolist() for x in vocabulary.merge_many(found)])

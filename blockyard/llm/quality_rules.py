@@ -1,15 +1,18 @@
 """Quality rules: counting rules and a perplexity band per language.
 
 The language model is a modified Kneser-Ney model over byte n-grams. Spark counts the n-grams of every text, the
-continuation counts of the lower orders and the mass each context gives away; what is kept of them (``max_ngrams``
-entries, the rarest dropped first, the same way at every size) becomes sorted arrays of packed n-grams that are
-broadcast and searched for every byte. Each language's bands are its median bits per byte plus ``width`` times the
+continuation counts of the lower orders and the mass each context gives away, and joins them order by order to the
+probability of every n-gram. None is dropped: the model lies in parts in the shared folder, which must be one that
+pyarrow reads from every executor (a file system, HDFS or an object store), and each group of texts reads the parts one
+after the other. Each language's bands are its median bits per byte plus ``width`` times the
 distance of its lower and upper quartile from it, over all texts that pass the counting rules. A text of n characters
 is off by its distance times sqrt(n / (n + ``steady``)), for short texts stray further by chance.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -17,12 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .scratch import store
+from .scratch import shared_folder, store
 
 ORDER = 5
 BOS, EOS = 2, 3
 MIN_WORDS, MAX_REPEAT = 20, 30
 MOST_COUNT = 1 << 12
+SPREAD = 1_000_003
+NO_BYTES = int.from_bytes(bytes([BOS] * (ORDER - 1) + [EOS]), "big")
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 LONGS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -137,12 +142,11 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame, max_ngrams: int = 1_500_000) -> Model:
-    """The model of all texts; ``max_ngrams`` bounds what is broadcast."""
-    counts = _counts(docs)
+def _discounts(counts: DataFrame) -> tuple[list[str], list[tuple], int]:
+    """The languages, (lang, order, code of lang, three discounts) of each level, and how many n-grams the highest order has."""
     seen = counts.groupBy("lang", "order", F.least("c", F.lit(MOST_COUNT)).alias("c")).agg(F.count("*").alias("n")).toPandas()
     langs = sorted(seen.lang.unique())
-    discounts = []
+    code, levels = {x: i for i, x in enumerate(langs)}, []
     for (lang, order), g in seen.groupby(["lang", "order"]):
         n = {int(c): int(x) for c, x in zip(g.c, g.n)}
         n1, n2, n3, n4 = (n.get(i, 0) for i in (1, 2, 3, 4))
@@ -151,64 +155,145 @@ def fit(docs: DataFrame, max_ngrams: int = 1_500_000) -> Model:
             d = [min(max(i - (i + 1) * y * b / a, 0.05), i - 0.05) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
         else:
             d = [0.5, 0.75, 0.9]
-        discounts.append((lang, int(order), *d))
-    spark = docs.sparkSession
-    if not discounts:
-        none = np.zeros(0)
-        return Model([], none.astype(np.int64), none, none.astype(np.int64), none)
-    code = {x: i for i, x in enumerate(langs)}
-    rows = [(lang, order, int(Model.pack(code[lang], order, 0)), d1, d2, d3) for lang, order, d1, d2, d3 in discounts]
-    table = F.broadcast(spark.createDataFrame(rows, "lang string, order int, place long, d1 double, d2 double, d3 double"))
+        levels.append((lang, int(order), code[lang], *d))
+    return langs, levels, int(seen[seen.order == ORDER].n.sum())
+
+
+def _levels(docs: DataFrame) -> tuple[list[str], DataFrame, DataFrame, int]:
+    """The languages, all n-grams (code, order, key, p), all contexts (code, order, key, gamma), and the number of highest order.
+
+    The suffix of an n-gram that was seen was seen, and so was its context: the probabilities of an order come from those
+    of the order below by a join, in which no key has more than 256 rows.
+    """
+    counts = _counts(docs)
+    langs, levels, top = _discounts(counts)
+    table = F.broadcast(docs.sparkSession.createDataFrame(levels, "lang string, order int, code long, d1 double, d2 double, d3 double"))
     off = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-    full = counts.join(table, ["lang", "order"]).withColumn("off", off)
-    contexts = full.groupBy((F.col("place") + F.shiftright("key", 8)).alias("key")).agg(F.sum("c").alias("total"), F.sum("off").alias("off"))
-    # The least counts that fit in the bound: a histogram of counts decides, so all are looked at.
-    more = seen.groupby("c").n.sum().sort_index(ascending=False).cumsum()
-    floor = int(min([c for c, n in more.items() if n <= max_ngrams], default=MOST_COUNT))
-
-    def arrays(df: DataFrame) -> list[np.ndarray]:
-        found = df.toArrow()
-        keys = found.column(0).to_numpy()
+    full = counts.join(table, ["lang", "order"]).select("code", "order", "key", "c", off.alias("off"), F.shiftright("key", 8).alias("context"))
+    contexts = full.groupBy("code", "order", "context").agg(F.sum("c").alias("total"), F.sum("off").alias("gone"))
+    contexts = contexts.select("code", "order", "context", "total", (F.col("gone") / F.col("total")).alias("gamma"))
+    alone = ((F.col("c") - F.col("off")) / F.col("total")).alias("alone")
+    shares = store(full.join(contexts, ["code", "order", "context"]).select("code", "order", "key", alone, "gamma"), "shares")
+    out, lower = None, None
+    for k in range(1, ORDER + 1):
+        own = shares.filter(F.col("order") == k).withColumn("suffix", F.col("key").bitwiseAND(F.lit((1 << (8 * (k - 1))) - 1)))
+        own = own.withColumn("below", F.lit(1 / 256)) if lower is None else own.join(lower, ["code", "suffix"])
+        own = own.select("code", "order", "key", (F.col("alone") + F.col("gamma") * F.col("below")).alias("p"))
+        own = store(own, f"level{k}")
+        lower = own.select("code", F.col("key").alias("suffix"), F.col("p").alias("below"))
+        out = own if out is None else out.unionByName(own)
+    return langs, out, contexts.select("code", "order", F.col("context").alias("key"), "gamma"), top
+
+
+def _collected(langs: list[str], grams: DataFrame, contexts: DataFrame) -> Model:
+    def arrays(df: DataFrame, value: str) -> list[np.ndarray]:
+        found = df.select("code", "order", "key", value).toArrow()
+        code, order, key, values = (found.column(i).to_numpy() for i in range(4))
+        keys = Model.pack(code, order, key)
         by = np.argsort(keys)
-        return [keys[by], *(found.column(i).to_numpy()[by] for i in (1, 2))]
+        return [keys[by], values[by]]
+
+    return Model(langs, *arrays(grams, "p"), *arrays(contexts, "gamma"))
+
+
+def fit(docs: DataFrame) -> Model:
+    """The model of all texts in this process's memory, which also scores texts it was not made from."""
+    return _collected(*_levels(docs)[:3])
 
-    keys, alone, order = arrays(full.filter(F.col("c") >= floor).select(F.col("place") + F.col("key"), (F.col("c") - F.col("off")).cast("float"), F.col("order").cast("byte")))
-    ckeys, totals, gammas = arrays(contexts.filter(F.col("total") >= floor).select("key", F.col("total").cast("double"), (F.col("off") / F.col("total")).cast("float")))
-    lang, key = keys >> 44, keys & ((1 << 40) - 1)
-    probs = np.zeros(len(keys), np.float32)
-    model = Model(langs, keys, probs, ckeys, gammas)
-    for k in range(1, ORDER + 1):
-        i = np.flatnonzero(order == k)
-        at, there = Model.find(ckeys, Model.pack(lang[i], k, key[i] >> 8))
-        lower = model.prob(lang[i], key[i] & ((1 << (8 * (k - 1))) - 1), k - 1)
-        probs[i] = np.where(there, alone[i] / totals[at] + gammas[at] * lower, lower)
-    return model
 
+def _shelf(key, parts: int):
+    """The part of the model in which a packed n-gram lies; numbers and columns alike."""
+    return (key % SPREAD) % parts
 
-def quality_rules(docs: DataFrame, width: float = 5.0, steady: int = 3000, least_texts: int = 30, max_ngrams: int = 1_500_000) -> DataFrame:
+
+class Shelves:
+    """The model's n-grams of highest order, in ``parts`` folders of the shared folder, with the bits each costs.
+
+    Every n-gram of a scored text was counted, so its stored probability is all that is looked up.
+    """
+
+    def __init__(self, docs: DataFrame, part_ngrams: int):
+        langs, grams, contexts, top = _levels(docs)
+        # The n-gram of a text without bytes may be unseen: what it backs off to is a few rows a language.
+        empty = [NO_BYTES & ((1 << (8 * k)) - 1) for k in range(1, ORDER + 1)]
+        few = _collected(langs, grams.filter(F.col("key").isin(empty)), contexts.filter(F.col("key").isin([x >> 8 for x in empty])))
+        told = -np.log2(few.prob(np.arange(len(langs) + 1), np.full(len(langs) + 1, NO_BYTES)))
+        self.empty = dict(zip(langs, told.tolist()))
+        self.langs, self.parts = {x: i for i, x in enumerate(langs)}, max(1, -(-top // part_ngrams))
+        if self.parts >= SPREAD:
+            raise ValueError(f"part_ngrams of {part_ngrams} is too small for {top} n-grams")
+        packed = F.shiftleft("code", 8 * ORDER) + F.col("key")
+        rows = grams.filter(F.col("order") == ORDER).select(packed.alias("key"), (-F.log2("p")).cast("float").alias("bits"))
+        rows = rows.withColumn("shelf", _shelf(F.col("key"), self.parts))
+        self.path = f"{shared_folder(docs.sparkSession)}/shelves-{uuid.uuid4().hex}"
+        rows.repartition("shelf").sortWithinPartitions("shelf", "key").write.partitionBy("shelf").parquet(self.path)
+
+    def bits(self, keys: np.ndarray) -> np.ndarray:
+        """The bits of sorted distinct packed n-grams; one part at a time is in memory."""
+        from pyarrow import fs, parquet
+
+        files, root = fs.FileSystem.from_uri(self.path)
+        shelf, out, found = _shelf(keys, self.parts), np.zeros(len(keys), np.float32), 0
+        for part in np.unique(shelf).tolist():
+            at = np.flatnonzero(shelf == part)
+            held = parquet.read_table(f"{root}/shelf={part}", columns=["key", "bits"], filesystem=files, partitioning=None, use_threads=False)
+            own = held.column("key").to_numpy()
+            to = np.minimum(np.searchsorted(keys[at], own), len(at) - 1)
+            same = keys[at][to] == own
+            out[at[to[same]]] = held.column("bits").to_numpy()[same]
+            found += int(same.sum())
+        if found != len(keys):
+            raise RuntimeError("the texts changed between two scans: read them from stored files")
+        return out
+
+
+def _groups(batches, most: int):
+    """Lists of slices with about ``most`` bytes of text together, so that each reads the model once."""
+    held, size = [], 0
+    for batch in tn.slices(batches, 1 << 20):
+        held.append(batch)
+        size += batch.column("text").nbytes
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def quality_rules(docs: DataFrame, width: float = 5.0, steady: int = 3000, least_texts: int = 30, part_ngrams: int = 1 << 18, group_bytes: int = 1 << 23) -> DataFrame:
     """One row per input row: doc_id, digest (xxhash64 of the text), lang, the five counts, bits (per byte), base_failed, middle, low, high, kept.
 
     Null text counts as empty and fails the base rules; null lang is a language of its own. A language with fewer
     than ``least_texts`` texts that pass the base rules has no band. Other columns are ignored; repeated rows each get
-    a row and count in the model.
+    a row and count in the model. ``docs`` is scanned twice and must not change. Parts of the model have about
+    ``part_ngrams`` n-grams; texts of ``group_bytes`` together look up theirs in one reading of the parts.
     """
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(fit(docs, max_ngrams))
+    shelves = Shelves(docs, part_ngrams)
 
     def score(batches):
-        m = model.value
-        for batch in tn.slices(batches, 1 << 22):
-            buf, offs = tn.utf8(batch.column("text"))
-            counts = base_counts(buf, offs, batch.num_rows)
-            key, row = ngrams(buf, offs)
-            lang = np.array([m.langs.get(x, len(m.langs)) for x in batch.column("lang").to_pylist()], np.int64)
-            codes, own = pd.factorize(key | (lang[row] << 40))
-            logs = -np.log2(m.prob(own >> 40, own & ((1 << 40) - 1)))
-            bits = np.bincount(row, logs[codes], minlength=batch.num_rows) / (np.diff(offs) + 1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("digest"), batch.column("lang"), *(pa.array(counts[c]) for c in LONGS), pa.array(bits)],
-                ["doc_id", "digest", "lang", *LONGS, "bits"],
-            )
+        for group in _groups(batches, group_bytes):
+            held = []
+            for batch in group:
+                buf, offs = tn.utf8(batch.column("text"))
+                key, row = ngrams(buf, offs)
+                # A text without bytes is not counted.
+                lang = np.array([shelves.langs.get(x, 0) for x in batch.column("lang").to_pylist()], np.int64)
+                full = np.diff(offs)[row] > 0
+                codes, own = pd.factorize((key | (lang[row] << (8 * ORDER)))[full])
+                held.append((codes.astype(np.int32), own, row[full].astype(np.int32)))
+                del key, row, full, codes, own
+            keys = np.unique(np.concatenate([own for _, own, _ in held]))
+            bits = shelves.bits(keys)
+            for batch, (codes, own, row) in zip(group, held):
+                buf, offs = tn.utf8(batch.column("text"))
+                counts = base_counts(buf, offs, batch.num_rows)
+                told = np.bincount(row, bits[np.searchsorted(keys, own)][codes], minlength=batch.num_rows) / (np.diff(offs) + 1)
+                for i in np.flatnonzero(np.diff(offs) == 0).tolist():
+                    told[i] = shelves.empty.get(batch.column("lang")[i].as_py(), 8.0)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), batch.column("digest"), batch.column("lang"), *(pa.array(counts[c]) for c in LONGS), pa.array(told)],
+                    ["doc_id", "digest", "lang", *LONGS, "bits"],
+                )
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("digest"), F.coalesce("lang", F.lit("")).alias("lang"))
     kind = ", ".join(f"{c} long" for c in LONGS)

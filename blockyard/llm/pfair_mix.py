@@ -2,19 +2,20 @@
 
 A source with weight w may send its block i (from 0) from slot floor(i/w) on and must have sent it before slot
 ceil((i+1)/w). Sending the released block of earliest deadline in every slot meets all deadlines, so each source is
-always less than one block from its share. Weights are multiples of 1/frame; then the schedule repeats after ``frame``
-slots, and one frame tells every block's slot by arithmetic. A source that ends leaves its share to the others: a new
-phase with a frame of its own begins.
+always less than one block from its share. Weights are used as they are, never rounded. A source that ends leaves its
+share to the others: windows are those of all sources sending at once, each at its weight among those left.
 """
 
 from __future__ import annotations
 
 import heapq
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_SOURCES = 10_000
+from .scratch import store
 
 
 def frame_shares(weights: dict[str, float], frame: int) -> dict[str, int]:
@@ -48,22 +49,47 @@ def pfair_frame(shares: dict[str, int]) -> dict[str, list[int]]:
     return slots
 
 
-def phases(blocks: dict[str, int], weights: dict[str, float], frame: int) -> list[dict]:
-    """Whole schedule: per source and phase the first block, the block after its last, and the frame that repeats."""
-    left, sent, start, out = {s: n for s, n in blocks.items() if n > 0}, dict.fromkeys(blocks, 0), 0, []
-    while left:
-        shares = frame_shares({s: weights[s] for s in left}, max(frame, len(left)))
-        rounds = min(n // shares[s] for s, n in left.items())
-        if not rounds:  # the sources that end within this frame send what they have
-            shares, rounds = {s: min(k, left[s]) for s, k in shares.items()}, 1
-        slots = pfair_frame(shares)
-        for s, k in shares.items():
-            out.append({"source": s, "first": sent[s], "last": sent[s] + rounds * k, "start": start, "frame": sum(shares.values()), "slots": slots[s]})
-            sent[s] += rounds * k
-            left[s] -= rounds * k
-        start += rounds * sum(shares.values())
-        left = {s: n for s, n in left.items() if n}
-    return out
+def windows(blocks: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Release and deadline (slots) of every block, source by source.
+
+    If all sources sent at once, each at its exact weight among those that still have blocks, the sources together would
+    have sent ``fluid(i / w)`` blocks when one of weight w has sent i: a sum of lines that bend where a source ends.
+    """
+    ends = blocks / weights
+    by = np.argsort(ends, kind="stable")
+    stops, done = ends[by], np.concatenate(([0], np.cumsum(blocks[by])))
+    rest = np.append(np.cumsum(weights[by][::-1])[::-1], 0.0)
+
+    def fluid(v: np.ndarray) -> np.ndarray:
+        k = np.searchsorted(stops, v, "left")
+        return done[k] + v * rest[k]
+
+    at = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    w = np.repeat(weights, blocks)
+    # Whole numbers stay whole after rounding errors.
+    begin, end = fluid(at / w), fluid((at + 1) / w)
+    return np.floor(begin + 1e-9 + 1e-12 * begin).astype(np.int64), np.ceil(end - 1e-9 - 1e-12 * end).astype(np.int64)
+
+
+def schedule(blocks: dict[str, int], weights: dict[str, float]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Sources by name; per block, source by source, the source's place among them, its number and its slot."""
+    names = sorted(s for s, n in blocks.items() if n > 0)
+    sizes = np.array([blocks[s] for s in names], np.int64)
+    share = np.array([weights[s] for s in names], float)
+    who = np.repeat(np.arange(len(names)), sizes)
+    number = np.arange(len(who)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    slots = np.zeros(len(who), np.int64)
+    if not len(who):
+        return names, who, number, slots
+    release, deadline = windows(sizes, share / share.max())
+    order, at, ready = np.argsort(release, kind="stable"), 0, []
+    for t in range(len(who)):
+        while at < len(order) and (release[order[at]] <= t or not ready):
+            i = int(order[at])
+            heapq.heappush(ready, (int(deadline[i]), i))
+            at += 1
+        slots[heapq.heappop(ready)[1]] = t
+    return names, who, number, slots
 
 
 def tempered(counts: dict[str, int], power: float = 0.5) -> dict[str, float]:
@@ -71,44 +97,44 @@ def tempered(counts: dict[str, int], power: float = 0.5) -> dict[str, float]:
     return {s: float(n) ** power for s, n in counts.items()}
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = 64, frame: int = 1024, seed: int = 7, bucket_docs: int = 20_000) -> DataFrame:
-    """The columns of ``docs`` with mix_block, mix_slot and mix_position (long): every row has a place in the mix.
-
-    Blocks hold ``block_docs`` rows of one source in a random order of doc_id that ``seed`` fixes. ``weights`` defaults to
-    the square roots of the sources' sizes; a source it lacks gets weight 0 and comes after all others. A null source is
-    the source ''. Null and repeated ids and empty texts take part as rows; repeated rows are interchangeable. At most
-    ``MOST_SOURCES`` sources, whose names and sizes the driver plans with. Columns of the added names are replaced.
-    """
+def _placed(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = 64, frame: int = 1024, seed: int = 7, bucket_docs: int = 20_000) -> tuple[DataFrame, int]:
+    """The rows of ``mix``, and the number of slots."""
     docs = docs.drop("mix_block", "mix_slot", "mix_position")
     named = docs.withColumn("_source", F.coalesce(F.col("source").cast("string"), F.lit(""))).withColumn("_hash", F.xxhash64("doc_id", F.lit(seed)))
-    counts = {r["_source"]: r["count"] for r in named.groupBy("_source").count().limit(MOST_SOURCES + 1).collect()}
-    if len(counts) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
+    counts = {r["_source"]: r["count"] for r in named.groupBy("_source").count().collect()}
     told = tempered(counts) if weights is None else weights
     blocks = {s: -(-n // block_docs) for s, n in counts.items()}
-    plan = phases({s: n for s, n in blocks.items() if told.get(s, 0) > 0}, told, frame)
-    after = max((p["start"] + (p["last"] - p["first"]) // len(p["slots"]) * p["frame"] for p in plan), default=0)
-    for p in phases({s: n for s, n in blocks.items() if told.get(s, 0) <= 0}, dict.fromkeys(counts, 1.0), frame):
-        plan.append(p | {"start": p["start"] + after})
-    spark = docs.sparkSession
-    kind = "source string, first long, last long, start long, frame long, slots array<int>"
-    # Bounded: at most two phases per source, each with as many numbers as a frame has slots.
-    table = spark.createDataFrame([tuple(p[c] for c in ("source", "first", "last", "start", "frame", "slots")) for p in plan], kind)
-    table = table.groupBy(F.col("source").alias("_source")).agg(F.collect_list(F.struct("first", "last", "start", "frame", "slots")).alias("_plan"))
+    first = schedule({s: n for s, n in blocks.items() if told.get(s, 0) > 0}, told)
+    last = schedule({s: n for s, n in blocks.items() if told.get(s, 0) <= 0}, dict.fromkeys(counts, 1.0))
+    kind = pa.schema([("_source", pa.string()), ("mix_block", pa.int64()), ("mix_slot", pa.int64())])
+    parts = [
+        pa.table([pa.array(names, pa.string()).take(pa.array(who)), pa.array(number), pa.array(slots + after)], schema=kind)
+        for (names, who, number, slots), after in ((first, 0), (last, len(first[1])))
+    ]
+    table = store(docs.sparkSession.createDataFrame(pa.concat_tables(parts)), "slots")
     # A source's rows are ranked within ranges of the hash, so that no task gets a whole source.
     buckets = max(1, -(-sum(counts.values()) // bucket_docs))
     ranged = named.withColumn("_bucket", F.least(F.floor((F.col("_hash") / float(1 << 64) + 0.5) * buckets), F.lit(buckets - 1)))
     sizes = ranged.groupBy("_source", "_bucket").agg(F.count("*").alias("n"))
     before = sizes.select("_source", "_bucket", (F.sum("n").over(Window.partitionBy("_source").orderBy("_bucket")) - F.col("n")).alias("_before"))
-    within = Window.partitionBy("_source", "_bucket").orderBy("_hash", "doc_id")
+    tie = [F.xxhash64("text")] if "text" in docs.columns else []
+    within = Window.partitionBy("_source", "_bucket").orderBy("_hash", "doc_id", *tie)
     ranked = ranged.withColumn("_rank", F.row_number().over(within) - 1).join(before, ["_source", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
-    placed = ranked.withColumn("mix_block", F.floor(F.col("_rank") / block_docs)).join(F.broadcast(table), "_source")
-    own = F.filter("_plan", lambda p: (F.col("mix_block") >= p["first"]) & (F.col("mix_block") < p["last"]))[0]
-    placed = placed.withColumn("_own", own).withColumn("_i", F.col("mix_block") - F.col("_own.first"))
-    share = F.size("_own.slots")
-    slot = F.col("_own.start") + F.floor(F.col("_i") / share) * F.col("_own.frame") + F.get(F.col("_own.slots"), (F.col("_i") % share).cast("int"))
-    placed = placed.withColumn("mix_slot", slot).withColumn("mix_position", F.col("mix_slot") * block_docs + F.col("_rank") % block_docs)
-    return placed.select(*docs.columns, "mix_block", "mix_slot", "mix_position")
+    placed = ranked.withColumn("mix_block", F.floor(F.col("_rank") / block_docs)).join(table, ["_source", "mix_block"])
+    placed = placed.withColumn("mix_position", F.col("mix_slot") * block_docs + F.col("_rank") % block_docs)
+    return placed.select(*docs.columns, "mix_block", "mix_slot", "mix_position"), sum(blocks.values())
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = 64, frame: int = 1024, seed: int = 7, bucket_docs: int = 20_000) -> DataFrame:
+    """The columns of ``docs`` with mix_block, mix_slot and mix_position (long): every row has a place in the mix.
+
+    Blocks hold ``block_docs`` rows of one source in a random order of doc_id that ``seed`` fixes, then of text where
+    there is one. ``weights`` defaults to the square roots of the sources' sizes; a source it lacks gets weight 0 and
+    comes after all others. A null source is the source ''. Null and repeated ids and empty texts take part as rows;
+    repeated rows are interchangeable. Any number of sources: the driver plans with their names and sizes and a slot per
+    block. ``frame`` has no effect, for weights are exact. Columns of the added names are replaced.
+    """
+    return _placed(docs, weights, block_docs, frame, seed, bucket_docs)[0]
 
 
 def mixed(docs: DataFrame, per_range: int = 20_000, **options) -> DataFrame:

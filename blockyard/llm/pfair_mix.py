@@ -138,6 +138,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: in
 
 
 def mixed(docs: DataFrame, per_range: int = 20_000, **options) -> DataFrame:
-    """The rows of ``docs`` in the order of the mix: partitions are ranges of positions, each in order."""
-    placed = mix(docs, **options)
-    return placed.repartition((F.col("mix_position") / per_range).cast("long")).sortWithinPartitions("mix_position").select(*docs.columns)
+    """The rows of ``docs`` in the order of the mix: partition i has the i-th range of positions, in order.
+
+    Written files are in the order of the mix by name; a reader that deals files anew finds the places by ``mix`` again.
+    """
+    placed, slots = _placed(docs, **options)
+    ranges = max(1, -(-slots * options.get("block_docs", 64) // per_range))
+    return placed.repartitionById(ranges, F.floor(F.col("mix_position") / per_range).cast("int")).sortWithinPartitions("mix_position").select(*docs.columns)

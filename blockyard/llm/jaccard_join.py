@@ -170,16 +170,8 @@ def _verify(groups: DataFrame, threshold: tuple[int, int], tile: int) -> DataFra
     return groups.groupBy("comp", "i", "j").applyInArrow(compare, "node binary, links long, root binary")
 
 
-def jaccard_join(docs: DataFrame, threshold: tuple[int, int] = (4, 5), shingle: int = 5, recall: float = 0.9999, small: int = 128, tile: int = 256, slack: float = 0.25) -> DataFrame:
-    """One row per input row: doc_id, class_id, n_links, n_copies, n_shingles.
-
-    class_id is the smallest doc_id of the documents connected by links of similarity ``threshold`` (a fraction) or
-    above; n_links counts all other rows linked to this one, equal sets included; n_copies the other rows with the same
-    set. ``slack``: candidates may fall this far below the threshold on the sampled tokens. Null or blank text has no
-    shingles and links to nothing: class_id is its own doc_id. Texts under five words are one shingle. Repeated rows
-    each appear and count as copies; a null doc_id stays null and is ignored for class_id unless its class has no other.
-    Columns beyond doc_id and text are ignored.
-    """
+def _classes(docs: DataFrame, threshold: tuple[int, int] = (4, 5), shingle: int = 5, recall: float = 0.9999, small: int = 128, tile: int = 256, slack: float = 0.25) -> DataFrame:
+    """The rows of ``jaccard_join`` with digest (xxhash64 of the text) and class, which names the class even where ids don't; null without shingles."""
     num, den = threshold
     runs = runs_for(num / den, recall)
     sketched = store(_sketches(docs, runs, DEPTH, shingle), "sketches")
@@ -209,17 +201,40 @@ def jaccard_join(docs: DataFrame, threshold: tuple[int, int] = (4, 5), shingle:
     named = roots.join(nodes.select("node", "rep"), "node")
     names = named.groupBy("root").agg(F.min("rep").alias("class_id"))
     classes = nodes.select("node", "rep", "copies").join(roots, "node", "left").join(names, "root", "left").join(links, "node", "left")
-    classes = classes.select("node", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), (F.col("copies") - 1).alias("n_copies"))
-    return sketched.select("doc_id", "node", F.col("n").cast("long").alias("n_shingles")).join(classes, "node", "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(0)).alias("n_copies"), "n_shingles"
+    classes = classes.select("node", F.coalesce("root", "node").alias("class"), F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), (F.col("copies") - 1).alias("n_copies"))
+    return sketched.select("doc_id", "digest", "node", F.col("n").cast("long").alias("n_shingles")).join(classes, "node", "left").select(
+        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(0)).alias("n_copies"), "n_shingles", "digest", "class"
     )
 
 
+def jaccard_join(docs: DataFrame, **options) -> DataFrame:
+    """One row per input row: doc_id, class_id, n_links, n_copies, n_shingles.
+
+    class_id is the smallest doc_id of the documents connected by links of similarity ``threshold`` (a fraction) or
+    above; n_links counts all other rows linked to this one, equal sets included; n_copies the other rows with the same
+    set. ``slack``: candidates may fall this far below the threshold on the sampled tokens. Null or blank text has no
+    shingles and links to nothing: class_id is its own doc_id. Texts under five words are one shingle. Repeated rows
+    each appear and count as copies; a null doc_id stays null and is ignored for class_id unless its class has no other.
+    Columns beyond doc_id and text are ignored.
+    ``options`` are threshold, shingle, recall, small, tile and slack.
+    """
+    return _classes(docs, **options).drop("digest", "class")
+
+
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` but for those in a class with a smaller doc_id, and for copies of one doc_id within a class.
+    """One row of each class: that of the smallest doc_id, then of the smallest digest of its text; rows without shingles stay.
 
-    A row without shingles stays. A null doc_id stays only where no other row of its class has an id.
+    A null doc_id comes after all ids, so a class without ids keeps a row, too. Of rows with equal doc_id and text the
+    one with the smallest columns stays. Other rows of a doc_id are no part of this: they stay or go with their class.
     """
-    joined = jaccard_join(docs, **options)
-    gone = joined.filter("class_id is not null and not (doc_id <=> class_id)").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    held = store(_classes(docs, **options).filter("class is not null").groupBy("class", "doc_id", "digest").agg(F.count("*").alias("n")), "classes")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    first = held.groupBy("class").agg(F.min(key).alias("first"))
+    # What goes, and what stays but is repeated; a row that is neither stays as it is.
+    touched = held.join(first, "class").withColumn("again", key == F.col("first")).filter("n > 1 or not again")
+    touched = store(touched.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "again"), "touched")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_digest"))
+    plain = docs.join(touched, same, "left_anti")
+    again = docs.join(touched.filter("again"), same, "left_semi")
+    one = again.groupBy("doc_id", F.xxhash64("text").alias("_digest")).agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    return plain.unionByName(one)

@@ -1,13 +1,15 @@
 """Secret scans: fixed patterns, and strings that cost a tokenizer many tokens.
 
 Words of any language get long tokens from a BPE vocabulary; keys drawn at random do not. A run of key characters with
-letters and digits whose characters per token fall below ``least_ratio`` is a finding, unless it is a digest of a known
-length, a UUID, a number, part of a URL, or a name made of words.
+letters whose characters per token fall below ``least_ratio`` is a finding, unless it is a digest of a known length, a
+UUID, a number, part of a URL's host or path, or a name made of words and numbers. User, query and fragment of a URL are
+looked at like other text.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import functools
 import re
 
@@ -26,6 +28,7 @@ RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 UUID = re.compile(r"(?i:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})")
 DIGEST = re.compile(r"(?i:[0-9a-f]+)")
 DIGEST_LENGTHS = frozenset((32, 40, 48, 56, 64, 96, 128))  # fixed values: hex digits of common digests
+URL = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]*://[^\s"'`<>,;|\\^{}()\[\]]*""")
 NAME_PART = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4}")
 CHUNK = 256
 
@@ -43,12 +46,25 @@ def named(run: str) -> bool:
     bare = run.rstrip("=").strip("-_/+")
     if UUID.fullmatch(bare) or (len(bare) in DIGEST_LENGTHS and DIGEST.fullmatch(bare)):
         return True
-    if not re.search("[0-9]", bare) or not re.search("[A-Za-z]", bare):
+    if not re.search("[A-Za-z]", bare):
         return True
+    if not re.search("[0-9]", bare):
+        return False
     parts = [p for p in re.split(r"[-_/+]", bare) if p]
     return all("".join(NAME_PART.findall(p)) == p and len(NAME_PART.findall(p)) <= 1 + len(p) // 5 for p in parts)
 
 
+def places(text: str) -> list[tuple[int, int]]:
+    """Spans of the hosts and paths of a text's URLs."""
+    out = []
+    for m in URL.finditer(text) if "://" in text else ():
+        a = m.start() + m[0].index("://") + 3
+        host = re.compile("[^/?#]*").match(text, a, m.end())
+        begin = host.start() + host[0].rindex("@") + 1 if "@" in host[0] else m.start()
+        out.append((begin, re.compile("[^?#]*").match(text, a, m.end()).end()))
+    return out
+
+
 def chars_per_token(run: str, encoding) -> float:
     return len(run) / max(1, sum(len(encoding.encode_ordinary(run[i : i + CHUNK])) for i in range(0, len(run), CHUNK)))
 
@@ -62,13 +78,14 @@ def scan(text: str, encoding, least_ratio: float) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         found += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     found += [("hex", *m.span()) for m in LONG_HEX.finditer(text)]
-    known = list(found)
+    known, urls = list(found), places(text)
+    starts = [a for a, _ in urls]
     for m in RUN.finditer(text):
         a, b = m.span()
         if named(m[0]) or any(x < b and a < y for _, x, y in known):
             continue
-        word = text[max(text.rfind(" ", 0, a), text.rfind("\n", 0, a)) + 1 : b] if "://" in text else ""
-        if "://" not in word and chars_per_token(m[0], encoding) < least_ratio:
+        near = bisect.bisect_right(starts, a) - 1
+        if not (near >= 0 and a < urls[near][1]) and chars_per_token(m[0], encoding) < least_ratio:
             found.append(("random", a, b))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 

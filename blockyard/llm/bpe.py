@@ -383,6 +383,28 @@ def _schema(df: DataFrame, more: str) -> str:
     return ", ".join([f"`{n}` {t}" for n, t in df.dtypes] + [more])
 
 
+def _frequent(often: DataFrame, most_words: int, slots: int = 1 << 16) -> DataFrame:
+    """At most ``most_words`` rows (word, n), of the largest n: whole eighths of a power of two, and of the next one as many by hash as fit.
+
+    Two histograms decide, of at most 512 and ``slots`` rows, so no task ranks words and the driver sees few numbers.
+    """
+    placed = often.withColumns({"level": F.floor(8 * F.log2("n")), "slot": F.pmod(F.xxhash64("word"), F.lit(slots))})
+    told = lambda df, by: [(r[0], r["words"]) for r in df.groupBy(by).agg(F.count("*").alias("words")).collect()]
+    room = most_words
+    for level, n in sorted(told(placed, "level"), reverse=True):
+        if n > room:
+            break
+        room -= n
+    else:
+        return often
+    upto = 0
+    for slot, n in sorted(told(placed.filter(F.col("level") == level), "slot")):
+        if n > room:
+            break
+        room, upto = room - n, slot + 1
+    return placed.filter((F.col("level") > level) | ((F.col("level") == level) & (F.col("slot") < upto)))
+
+
 def build_coder(docs: DataFrame, tokenizer: str, most_words: int = 1 << 17, least_count: int = 4, longest: int = 64) -> Coder:
     """Count the words of all texts and compile the frequent ones.
 
@@ -410,13 +432,7 @@ def build_coder(docs: DataFrame, tokenizer: str, most_words: int = 1 << 17, leas
 
     words = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     often = store(words.filter((F.col("n") >= least_count) & (F.octet_length("word") <= longest)), "words")
-    # The least count whose words fit in the bound: a histogram decides, so no task ranks words for the driver.
-    above, floor = 0, 1 << 20
-    for r in often.groupBy(F.least("n", F.lit(floor)).alias("n")).agg(F.count("*").alias("words")).orderBy(F.desc("n")).collect():
-        if above + r["words"] > most_words:
-            break
-        above, floor = above + r["words"], r["n"]
-    found = sorted(r["word"].encode() for r in often.filter(F.col("n") >= floor).select("word").collect()) if above else []
+    found = sorted(r["word"].encode() for r in _frequent(often, most_words).select("word").collect())
     name = f"lexicon-{uuid.uuid4().hex}"
     path = os.path.join(tempfile.mkdtemp(prefix="spark-lexicon-"), name)
     Lexicon.write(path, found, [np.frombuffer(x, np.int32).tolist() for x in vocabulary.merge_many(found)])

@@ -4,7 +4,7 @@ p(w | u) = L2(b) c(uw)/c(u) + L1(b) c(w)/N + L0(b)/(V+1), where b is the bucket
 training texts is deleted from the counts; expectation-maximisation learns each bucket's weights on that slice's own
 counts, and the score then uses the counts of all training texts.
 
-The model grows with the corpus, so it is never broadcast. Texts stay in the blocks they are scanned in. Each block
+The model grows with the corpus, so it is never broadcast. Texts are stored and stay in the blocks they are scanned in. Each block
 asks for its distinct words and pairs once: their sorted 64-bit hashes go to hash ranges, where equal hashes of all
 blocks are added up, and the sums go back to the block. A frequent word thus sends a row's share per block, not one
 per occurrence or document.
@@ -236,10 +236,12 @@ def score_texts(docs: DataFrame, fold: Column | None = None, range_bytes: int =
     ``fold`` is 2 for texts to keep out of training, 1 for the training slice that is deleted while weights are learned,
     else 0; by default crc32 of the doc_id decides. A null text is empty: its one token is the end. A null doc_id counts
     as the empty string for the fold. Without training texts every estimate is uniform. Repeated rows each count, and
-    other columns are ignored. ``docs`` is scanned twice and must not change; a block is a share of one of its partitions.
+    other columns are ignored. Texts are stored in the shared folder once; a block is a share of a partition of those files.
     """
     parts = max(1, -(-input_bytes(docs) // range_bytes))
-    texts = docs.select("doc_id", "text", (usual_fold() if fold is None else fold).cast("int").alias("fold"), (F.spark_partition_id() * SHARES + F.pmod(F.xxhash64("doc_id", "text"), F.lit(SHARES)).cast("int")).alias("block"))
+    # Stored files split alike in both scans, however the rows of docs come about.
+    held = store(docs.select("doc_id", "text", (usual_fold() if fold is None else fold).cast("int").alias("fold")), "texts")
+    texts = held.withColumn("block", F.spark_partition_id() * SHARES + F.pmod(F.xxhash64("doc_id", "text"), F.lit(SHARES)).cast("int"))
     answers = store(_answers(_requests(texts, parts)), "answers")
     total = answers.filter(F.col("kind") == WORD).agg(*(F.sum(c).alias(c) for c in ("n", "v", "n_kept", "v_kept"))).first().asDict()
     n, v, n_kept, v_kept = (int(total[c] or 0) for c in ("n", "v", "n_kept", "v_kept"))

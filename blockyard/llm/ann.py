@@ -103,7 +103,7 @@ def _usable(vectors: DataFrame, id_col: str, column: str) -> DataFrame:
 
 def nearest(
     vectors: DataFrame, id_col: str = "vec_id", column: str = "embedding", every: int = 100, k: int = 10,
-    reranked: int = 256, sample: int = 20_000, query_block: int = 100_000,
+    reranked: int = 256, sample: int = 20_000, query_block: int = 100_000, query_bytes: int = 1 << 25,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for every row whose id is divisible by ``every``.
 
@@ -111,7 +111,7 @@ def nearest(
     null, zero or non-finite vectors and those of an unusual length take no part; a repeated row (same id and vector)
     counts once, and no row is its own query's candidate. Equal vectors share one code and keep their k + 1 smallest
     ids, the most that a query can need. Codebooks are trained on at most ``sample`` vectors, all are indexed. Queries go
-    to the tasks in blocks of ``query_block`` that are broadcast one after the other; ``reranked`` vectors of each batch
+    to the tasks in blocks of about ``query_block`` rows and ``query_bytes`` bytes at most that are broadcast one after the other; ``reranked`` vectors of each batch
     of at most 16,384 get exact distances.
     """
     spark, rows = vectors.sparkSession, _usable(vectors, id_col, column)
@@ -133,6 +133,7 @@ def nearest(
 
     indexed = store(distinct.mapInArrow(index, "ids array<long>, v binary, code binary"), "index")
     queries = rows.filter(F.col("vec_id") % every == 0).distinct()
+    query_block = max(1, min(query_block, query_bytes // (8 * train.shape[1])))
     queries = store(queries.withColumn("block", F.floor(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) / (1 << 30) * F.lit(max(1, -(-queries.count() // query_block))))), "queries")
     found = None
     for (block,) in queries.select("block").distinct().orderBy("block").collect():

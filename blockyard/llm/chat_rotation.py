@@ -1,8 +1,8 @@
 """Multi-party perspective rotation of dialogues, with DataFrame functions alone.
 
 For every participant the dialogue is rendered with that speaker as assistant and the others as named users; the mask
-marks what the assistant says. Dialogues are rendered in chunks of consecutive turns, so a dialogue of any length is
-never gathered in one row; one of at most ``chunk_turns`` turns is a single row.
+marks what the assistant says. Dialogues are rendered in chunks of turn numbers, so a dialogue of any length is never
+gathered in one row or task; one whose turns are numbered from 0 to ``chunk_turns`` - 1 is a single row.
 """
 
 from __future__ import annotations
@@ -17,14 +17,15 @@ def rotate(turns: DataFrame, chunk_turns: int = 64, system: str = "system") -> D
     ``turns`` has conv_id, turn, role, text; other columns are ignored. Turns go by turn (nulls last), then role, then
     text; repeated rows are repeated turns. A null role speaks as 'unknown', a null text is empty. System turns stay
     system turns and are no participant, so a dialogue of system turns alone has no row. Chunk is turn divided by
-    ``chunk_turns``; more rows than that in a chunk (repeated turns) go on in further parts. Markers within texts and
+    ``chunk_turns``, rounded down; turns numbered across its multiples thus lie in several chunks, and null turns in the
+    last of all. More rows than that in a chunk (repeated turns) go on in further parts. Markers within texts and
     names are broken up by a space, line breaks in names become spaces.
     """
     clean = lambda c: F.regexp_replace(c, r"<\|(im_start|im_end)\|>", "< |$1| >")
     rows = turns.select(
         "conv_id",
         "turn",
-        F.floor(F.coalesce(F.col("turn"), F.lit(9223372036854775807)) / chunk_turns).cast("long").alias("chunk"),
+        F.expr(f"(coalesce(turn, 9223372036854775807L) - pmod(coalesce(turn, 9223372036854775807L), {chunk_turns}L)) div {chunk_turns}L").alias("chunk"),
         F.regexp_replace(clean(F.coalesce("role", F.lit("unknown"))), r"[\r\n]", " ").alias("role"),
         clean(F.coalesce("text", F.lit(""))).alias("text"),
     )

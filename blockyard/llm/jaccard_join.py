@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import textnum as tn
 from .components import components
-from .scratch import store
+from .scratch import fresh, store
 
 DEPTH = 3
 
@@ -396,9 +396,10 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     first = held.groupBy("class").agg(F.min(key).alias("first"))
     # What goes, and what stays but is repeated; a row that is neither stays as it is.
     touched = held.join(first, "class").withColumn("again", key == F.col("first")).filter("n > 1 or not again")
-    touched = store(touched.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "again"), "touched")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_digest"))
+    own, digest, stays = fresh(docs, "_id", "_digest", "_again")
+    touched = store(touched.select(F.col("doc_id").alias(own), F.col("digest").alias(digest), F.col("again").alias(stays)), "touched")
+    same = F.col("doc_id").eqNullSafe(F.col(own)) & F.xxhash64("text").eqNullSafe(F.col(digest))
     plain = docs.join(touched, same, "left_anti")
-    again = docs.join(touched.filter("again"), same, "left_semi")
-    one = again.groupBy("doc_id", F.xxhash64("text").alias("_digest")).agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    again = docs.join(touched.filter(F.col(stays)), same, "left_semi")
+    one = again.groupBy("doc_id", F.xxhash64("text").alias(digest)).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
     return plain.unionByName(one)

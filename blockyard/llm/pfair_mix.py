@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import store
+from .scratch import fresh, store
 
 
 def frame_shares(weights: dict[str, float], frame: int) -> dict[str, int]:
@@ -100,13 +100,14 @@ def tempered(counts: dict[str, int], power: float = 0.5) -> dict[str, float]:
 def _placed(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = 64, frame: int = 1024, seed: int = 7, bucket_docs: int = 20_000) -> tuple[DataFrame, int]:
     """The rows of ``mix``, and the number of slots."""
     docs = docs.drop("mix_block", "mix_slot", "mix_position")
-    named = docs.withColumn("_source", F.coalesce(F.col("source").cast("string"), F.lit(""))).withColumn("_hash", F.xxhash64("doc_id", F.lit(seed)))
-    counts = {r["_source"]: r["count"] for r in named.groupBy("_source").count().collect()}
+    source, hash_, bucket, rank, sum_before = fresh(docs, "_source", "_hash", "_bucket", "_rank", "_before")
+    named = docs.withColumn(source, F.coalesce(F.col("source").cast("string"), F.lit(""))).withColumn(hash_, F.xxhash64("doc_id", F.lit(seed)))
+    counts = {r[source]: r["count"] for r in named.groupBy(source).count().collect()}
     told = tempered(counts) if weights is None else weights
     blocks = {s: -(-n // block_docs) for s, n in counts.items()}
     first = schedule({s: n for s, n in blocks.items() if told.get(s, 0) > 0}, told)
     last = schedule({s: n for s, n in blocks.items() if told.get(s, 0) <= 0}, dict.fromkeys(counts, 1.0))
-    kind = pa.schema([("_source", pa.string()), ("mix_block", pa.int64()), ("mix_slot", pa.int64())])
+    kind = pa.schema([(source, pa.string()), ("mix_block", pa.int64()), ("mix_slot", pa.int64())])
     parts = [
         pa.table([pa.array(names, pa.string()).take(pa.array(who)), pa.array(number), pa.array(slots + after)], schema=kind)
         for (names, who, number, slots), after in ((first, 0), (last, len(first[1])))
@@ -114,14 +115,14 @@ def _placed(docs: DataFrame, weights: dict[str, float] | None = None, block_docs
     table = store(docs.sparkSession.createDataFrame(pa.concat_tables(parts)), "slots")
     # A source's rows are ranked within ranges of the hash, so that no task gets a whole source.
     buckets = max(1, -(-sum(counts.values()) // bucket_docs))
-    ranged = named.withColumn("_bucket", F.least(F.floor((F.col("_hash") / float(1 << 64) + 0.5) * buckets), F.lit(buckets - 1)))
-    sizes = ranged.groupBy("_source", "_bucket").agg(F.count("*").alias("n"))
-    before = sizes.select("_source", "_bucket", (F.sum("n").over(Window.partitionBy("_source").orderBy("_bucket")) - F.col("n")).alias("_before"))
+    ranged = named.withColumn(bucket, F.least(F.floor((F.col(hash_) / float(1 << 64) + 0.5) * buckets), F.lit(buckets - 1)))
+    sizes = ranged.groupBy(source, bucket).agg(F.count("*").alias("n"))
+    before = sizes.select(source, bucket, (F.sum("n").over(Window.partitionBy(source).orderBy(bucket)) - F.col("n")).alias(sum_before))
     tie = [F.xxhash64("text")] if "text" in docs.columns else []
-    within = Window.partitionBy("_source", "_bucket").orderBy("_hash", "doc_id", *tie)
-    ranked = ranged.withColumn("_rank", F.row_number().over(within) - 1).join(before, ["_source", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
-    placed = ranked.withColumn("mix_block", F.floor(F.col("_rank") / block_docs)).join(table, ["_source", "mix_block"])
-    placed = placed.withColumn("mix_position", F.col("mix_slot") * block_docs + F.col("_rank") % block_docs)
+    within = Window.partitionBy(source, bucket).orderBy(hash_, "doc_id", *tie)
+    ranked = ranged.withColumn(rank, F.row_number().over(within) - 1).join(before, [source, bucket]).withColumn(rank, F.col(rank) + F.col(sum_before))
+    placed = ranked.withColumn("mix_block", F.floor(F.col(rank) / block_docs)).join(table, [source, "mix_block"])
+    placed = placed.withColumn("mix_position", F.col("mix_slot") * block_docs + F.col(rank) % block_docs)
     return placed.select(*docs.columns, "mix_block", "mix_slot", "mix_position"), sum(blocks.values())
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .scratch import shared_folder, store
+from .scratch import fresh, shared_folder, store
 
 ORDER = 5
 BOS, EOS = 2, 3
@@ -319,6 +319,7 @@ def _few(bands: DataFrame, most: int = 10_000) -> DataFrame:
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that pass, with their columns as they are."""
-    gone = quality_rules(docs, **options).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_digest"))
+    own, digest = fresh(docs, "_id", "_digest")
+    gone = quality_rules(docs, **options).filter("not kept").select(F.col("doc_id").alias(own), F.col("digest").alias(digest)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(own)) & F.xxhash64("text").eqNullSafe(F.col(digest))
     return docs.join(gone, same, "left_anti")

@@ -24,6 +24,17 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of ``df`` has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def input_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of a text column, over all rows; sizes hash partitions so that one fits in a task."""
     from pyspark.sql import functions as F

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
+from .scratch import fresh
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -133,8 +134,9 @@ def redact(docs: DataFrame, ranks: str, pattern: str, mask: str = "[SECRET]", **
 
     done = F.aggregate("spans", state, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"].cast("int") + 1, F.length("text"))))
     text = F.when(F.size("spans") > 0, done).otherwise(F.col("text"))
-    out = found.withColumn("_text", text)
-    changed = {"text": F.col("_text")}
+    (new,) = fresh(found, "_text")
+    out = found.withColumn(new, text)
+    changed = {"text": F.col(new)}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.size("spans") > 0, F.length("_text").cast("long")).otherwise(F.col("n_chars"))
+        changed["n_chars"] = F.when(F.size("spans") > 0, F.length(new).cast("long")).otherwise(F.col("n_chars"))
     return out.withColumns(changed).select(*docs.columns)

@@ -60,7 +60,8 @@ class Cutter:
 
     def tiny(self, i: int) -> bool:
         p = self.page
-        small = p.length[i] < TINY_CHARS and _low(p, i, TINY_PX) and p.tag[i] not in HEADINGS
+        tall = not _low(p, i, TINY_PX) or (p.box[i] is None and (p.is_a("tall", i) or p.count("tall", i)))
+        small = p.length[i] < TINY_CHARS and not tall and p.tag[i] not in HEADINGS
         return small and not p.count("solid", i) and p.count("links", i) <= 1 and not self.titled(i)
 
     def rows(self, kids: list[int]) -> str | None:

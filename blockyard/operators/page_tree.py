@@ -30,6 +30,7 @@ SPACE = np.array([*range(9, 14), 32, 160, 0x1680, *range(0x2000, 0x200B), 0x2028
 _COUNTED = {
     "links": lambda t, a: t == "a" and "href" in a, "headings": lambda t, a: t in HEADINGS, "list_items": lambda t, a: t == "li", "table_rows": lambda t, a: t == "tr",
     "controls": lambda t, a: t in CONTROLS, "paragraphs": lambda t, a: t == "p", "h1": lambda t, a: t == "h1", "tables": lambda t, a: t == "table", "th": lambda t, a: t in ("th", "thead"),
+    "tall": lambda t, a: t in ("iframe", "video") or (t in PICTURES and len(h := re.match(r"\d*", a.get("height", ""))[0]) > 0 and int(h) >= 64),
     "landmarks": lambda t, a: t in LANDMARKS - {"form", "dialog"}, "solid": lambda t, a: t in ("h1", "h2", "h3", "table", "ul", "ol") or t in CONTROLS,
 }
 

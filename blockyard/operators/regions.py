@@ -67,6 +67,7 @@ def with_neighbours(regions: DataFrame) -> DataFrame:
             "prev_tag": F.lag("tag").over(by_page()),
             "next_tag": F.lead("tag").over(by_page()),
             "prev_length": F.coalesce(F.lag("text_length").over(by_page()), F.lit(-1)),
+            "prev_text": F.lag("text").over(by_page()),
             "next_length": F.coalesce(F.lead("text_length").over(by_page()), F.lit(-1)),
             "prev_links": F.coalesce(F.lag("links").over(by_page()), F.lit(-1)),
             "next_links": F.coalesce(F.lead("links").over(by_page()), F.lit(-1)),
@@ -82,13 +83,14 @@ def with_neighbours(regions: DataFrame) -> DataFrame:
 def with_text_features(regions: DataFrame) -> DataFrame:
     """Adds the text statistics and the flags short, tiny, prose and linky."""
     stats = text_stats(F.col("text"))
+    cover = F.col("cover_links") if "cover_links" in regions.columns else F.lit(0)
     out = regions.withColumns(stats)
     return out.withColumns(
         {
             "short": F.col("text_length") < 40,
             "tiny": F.col("text_length") < 16,
             "prose": (F.col("text_length") >= 80) & (F.col("link_ratio") < 0.3) & ((F.col("sentences") > 0) | (F.col("commas") > 0) | (F.col("words") > 15)),
-            "linky": (F.col("link_ratio") >= 0.6) & (F.col("links") >= 3),
+            "linky": ((F.col("link_ratio") >= 0.6) & (F.col("links") >= 3)) | (cover >= 3),
         }
     )
 
@@ -144,14 +146,15 @@ def with_disposition(calls: DataFrame, kind: str = "type", sure: float = 0.8) ->
     return calls.join(types, kind, "left").withColumn("disposition", F.when(soft, "demote").otherwise(plain)).withColumn("softened", soft).drop("_plain")
 
 
-def page_counts(calls: DataFrame) -> DataFrame:
-    """Per page: total, keep, demote, drop and the calls of each source."""
+def page_counts(calls: DataFrame, *more: Column) -> DataFrame:
+    """Per page: total, keep, demote, drop, the calls of each source and the aggregates ``more``."""
     count = lambda c: F.sum(c.cast("long"))
     return calls.groupBy("page_id").agg(
         F.count("*").alias("total"),
         *(count(F.col("disposition") == d).alias(d) for d in ("keep", "demote", "drop")),
         *(count(F.col("source") == s).alias(f"from_{s}") for s in ("rules", "trees", "directory")),
         count(F.col("softened")).alias("softened"),
+        *more,
     )
 
 

@@ -6,39 +6,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import regions as re_
+from ..operators import trees
 from ..operators.directory import directory_calls, with_selector
 from ..operators.extract import extract_regions
+from ..operators.links import eligible, gate_pages
 from ..operators.rules import CORE, RuleSet, classify_rules, with_flags
 from ..operators.scoring import stack_calls
+from ..operators.vectors import vectorize
 from ..sources.shared import materialise
 
 
 def region_features(pages: DataFrame) -> DataFrame:
-    """Extracted regions with repetition, neighbours and text features.
+    """Extracted regions with flags, repetition, neighbours and text features.
 
-    Extraction is the costly step and the site index, the page counts and the features all read its rows, so they are
-    written once to the shared folder.
+    Extraction and flags are the costly steps and the site index, the page counts and the features all read their rows,
+    so they are written once to the shared folder.
     """
-    found = materialise(re_.drop_empty(extract_regions(pages)), "regions")
-    repeated = re_.with_repetition(found)
-    return re_.with_text_features(re_.with_neighbours(with_flags(repeated)))
+    found = materialise(re_.drop_empty(with_flags(extract_regions(pages))), "regions")
+    # Rules cost much time a row, so partitions by page are not merged by their bytes; all later windows use them.
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return re_.with_text_features(re_.with_neighbours(re_.with_repetition(found).repartition(parts, "page_id")))
 
 
-def classify_pages(pages: DataFrame, directory: DataFrame | None = None, rules: RuleSet = CORE) -> DataFrame:
-    """Calls per region: type, rule, source, block, slot, disposition."""
-    called = classify_rules(region_features(pages), rules)
+def classify_pages(pages: DataFrame, directory: DataFrame | None = None, model: trees.Model | None = None, rules: RuleSet = CORE, blend: float = 0.5) -> DataFrame:
+    """Calls per region: type, rule, tree_type, directory_type, source, block, slot, disposition.
+
+    Pages that are no web pages (``links.eligible``) have no calls. Rules decide; a tree ``model`` of ``vectors.NAMES``
+    decides where it is sure enough (``blend``), and a ``directory`` over both.
+    """
+    called = classify_rules(region_features(eligible(pages).filter("eligible").drop("eligible")), rules)
     none = F.lit(None).cast("string")
-    if directory is not None:
-        called = directory_calls(with_selector(called), directory)
+    called = directory_calls(with_selector(called), directory) if directory is not None else called.withColumn("directory_type", none)
+    if model is None:
+        called = called.withColumn("tree_type", none).withColumn("tree_conf", F.lit(None).cast("double"))
     else:
-        called = called.withColumn("directory_type", none)
-    called = stack_calls(called.withColumn("tree_type", none).withColumn("tree_conf", F.lit(None).cast("double")), 0.5)
-    return re_.with_disposition(re_.derive_axes(called, "stack_type"), "stack_type")
+        called = trees.predict(vectorize(called), model).drop("features")
+    return re_.with_disposition(re_.derive_axes(stack_calls(called, blend), "stack_type"), "stack_type")
 
 
-def page_blocks(pages: DataFrame, directory: DataFrame | None = None) -> DataFrame:
-    """Per page: counts by disposition and source, characters kept, and the share of the page's text that is content."""
-    calls = classify_pages(pages, directory)
-    kept = F.sum(F.when(F.col("disposition") == "keep", F.col("text_length")).otherwise(0))
-    chars = calls.groupBy("page_id").agg(F.first("site").alias("site"), kept.alias("kept_chars"), F.sum("text_length").alias("chars"))
-    return re_.page_counts(calls).join(chars, "page_id").withColumn("content_share", F.round(F.col("kept_chars") / F.greatest(F.col("chars"), F.lit(1)), 3))
+def page_blocks(pages: DataFrame, directory: DataFrame | None = None, model: trees.Model | None = None) -> DataFrame:
+    """Per page: counts by disposition and source, characters kept, the share of the page's text that is content, tier and reason.
+
+    One aggregation over the calls, whose rows already lie by page.
+    """
+    calls = classify_pages(pages, directory, model)
+    kept = F.sum(F.when(F.col("disposition") == "keep", F.col("text_length")).otherwise(0)).alias("kept_chars")
+    out = re_.page_counts(calls, F.first("site").alias("site"), kept, F.sum("text_length").alias("chars"))
+    out = out.withColumn("content_share", F.round(F.col("kept_chars") / F.greatest(F.col("chars"), F.lit(1)), 3))
+    return gate_pages(out.withColumnsRenamed({"total": "regions", "keep": "kept"})).withColumnsRenamed({"regions": "total", "kept": "keep"})

@@ -167,9 +167,13 @@ def java(pattern: str, lower: bool = False) -> str:
             return f"(?<!{word})"
         return f"(?!{word})" if re.match(r"$|[|) ,(\[]", rest) and re.search(r"[A-Za-z0-9?)\]}\d]$", pattern[: m.start()]) else edge
 
-    out = re.sub(r"\\b", boundary, pattern)
-    out = re.sub(r"(?<!\\)\$", lambda _: r"\z", out)
-    return re.sub(r"\\.|[A-Z]", lambda m: m[0] if m[0][0] == "\\" else m[0].lower(), out) if lower else out
+    out = re.sub(r"(?<!\\)\$", lambda _: r"\z", re.sub(r"\\b", boundary, pattern))
+    return lowered(out) if lower else out
+
+
+def lowered(pattern: str) -> str:
+    """The pattern for lower-cased text: its letters in lower case, but for classes such as \\S."""
+    return re.sub(r"\\.|[A-Z]", lambda m: m[0] if m[0][0] == "\\" else m[0].lower(), pattern)
 
 
 def _bits(subject: Column, patterns: list[str], lower: bool) -> Column:

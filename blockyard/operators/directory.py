@@ -80,7 +80,7 @@ def lopo_score(rows: DataFrame) -> DataFrame:
 def resolve_tier(pages: DataFrame, site_tier: DataFrame, rule_tier: DataFrame, overrides: DataFrame, default: str = "contained") -> DataFrame:
     """Adds tier and reason: override, else the last matching rule set's, else the site's, else the default."""
     rules = rule_tier.filter("tier is not null").groupBy("page_id").agg(F.max_by("tier", "set_pos").alias("rule_tier"))
-    out = pages.join(F.broadcast(site_tier.select("site", F.col("tier").alias("entry_tier"))), "site", "left").join(rules, "page_id", "left")
+    out = pages.join(site_tier.select("site", F.col("tier").alias("entry_tier")), "site", "left").join(rules, "page_id", "left")
     out = out.join(overrides.select("page_id", F.col("tier").alias("own_tier")), "page_id", "left")
     reason = F.when(F.col("own_tier").isNotNull(), "override").when(F.col("rule_tier").isNotNull(), "rule").when(F.col("entry_tier").isNotNull(), "site").otherwise("default")
     return out.withColumn("tier", F.coalesce("own_tier", "rule_tier", "entry_tier", F.lit(default))).withColumn("reason", reason).drop("own_tier", "rule_tier", "entry_tier")

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import rank_quantile
-
 COST_PER_MILLION = 0.042  # fixed value: price of a million input tokens
 # How headings of related and of trending sections begin.
 RELATED = r"(?iu)^(related|read more|you may also like|you might also like|recommended( for you)?|see also|more (from|on|like) |also (in|on) |further reading|more stories|explore more|next up|up next|discover more|you.ll also love|most-saved)"
@@ -54,20 +52,27 @@ def apply_policies(labels: DataFrame) -> DataFrame:
 
 
 def run_stats(labels: DataFrame, below: float = 0.5) -> DataFrame:
-    """One row: n, flagged, min, p25, median and p75 of confidence, tokens and cost."""
+    """One row: n, flagged, min, p25, median, p75 and max of confidence, tokens and cost."""
     c = F.col("confidence")
-    return labels.agg(
-        F.count("*").alias("n"), F.sum((c < below).cast("long")).alias("flagged"), F.min(c).alias("min"),
-        rank_quantile(c, 0.25).alias("p25"), rank_quantile(c, 0.5).alias("median"), rank_quantile(c, 0.75).alias("p75"),
+    sums = labels.agg(
+        F.count("*").alias("n"), F.sum((c < below).cast("long")).alias("flagged"), F.min(c).alias("min"), F.max(c).alias("max"),
         F.sum("input_tokens").alias("tokens"), F.round(F.sum("input_tokens") * COST_PER_MILLION / 1e6, 6).alias("cost"),
     )
+    ranks = ranked_quantiles(labels, "confidence", {"p25": 0.25, "median": 0.5, "p75": 0.75})
+    return sums.withColumn("_one", F.lit(1)).join(ranks.withColumn("_one", F.lit(1)), "_one").drop("_one")  # a row each
 
 
 def ranked_quantiles(values: DataFrame, column: str, shares: dict[str, float]) -> DataFrame:
-    """One row of exact rank quantiles of a large column: a distributed sort and counts per range, no group in one task."""
+    """One row of exact rank quantiles of a large column.
+
+    Equal values are counted first; a sketch then cuts the distinct values into up to 1,000 ranges of about equal size,
+    whose sums fit in one row each, and ranks are summed up within a range.
+    """
     counted = values.groupBy(column).agg(F.count("*").alias("c"))
     total = values.agg(F.count(column)).first()[0]
-    spread = counted.filter(F.col(column).isNotNull()).withColumn("_g", F.floor(F.col(column) * 100))
+    known = counted.filter(F.col(column).isNotNull())
+    cuts = sorted(set(known.agg(F.percentile_approx(column, [i / 1000 for i in range(1, 1000)], 10_000)).first()[0] or []))
+    spread = known.withColumn("_g", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x <= F.col(column))) if cuts else F.lit(0))
     groups = spread.groupBy("_g").agg(F.sum("c").alias("w"))
     before = groups.select("_g", (F.sum("w").over(Window.orderBy("_g")) - F.col("w")).alias("_before"))
     placed = spread.join(F.broadcast(before), "_g").withColumn("upto", F.sum("c").over(Window.partitionBy("_g").orderBy(column)) + F.col("_before"))

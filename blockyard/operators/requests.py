@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.globs import fill_template, glob_to_regex
 from ..functions.urls import host, host_suffixes
+from ..sources.shared import materialise
 
 MOST_PATTERNS = 100_000
 
@@ -36,6 +37,7 @@ def decide_requests(requests: DataFrame, rule_match: DataFrame, rule_redirect: D
     blocks; the first hit wins. Then filter lists decide, unless the page is on the allowlist.
     """
     asked = requests.withColumn("page_url", F.coalesce("page_url", "url"))
+    asked, every = _pairs(asked), asked
     sets = match_rule_sets(asked, rule_match)
     met = asked.select("request_id", "url", "page_url").join(sets, "page_url")
     redirect = _small(rule_redirect.select("set_pos", "pos", glob_to_regex(F.col("from")).alias("regex"), F.col("to")))
@@ -53,7 +55,17 @@ def decide_requests(requests: DataFrame, rule_match: DataFrame, rule_redirect: D
     else:
         out = out.withColumn("listed", F.lit(None).cast("boolean"))
     decision = F.coalesce("hit.decision", F.when(F.col("listed"), "block"), F.lit("allow"))
-    return out.withColumns({"decision": decision, "target": F.col("hit.target"), "decided_by": F.coalesce("hit.name", F.when(F.col("listed"), "filters"))}).drop("hit", "listed")
+    told = out.withColumns({"decision": decision, "target": F.col("hit.target"), "decided_by": F.coalesce("hit.name", F.when(F.col("listed"), "filters"))})
+    keys = ("page_url", "url", "type")
+    told = told.select(*(F.col(k).alias(f"_{k}") for k in keys), "decision", "target", "decided_by")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return every.join(told, same, "left").drop(*(f"_{k}" for k in keys))
+
+
+def _pairs(asked: DataFrame) -> DataFrame:
+    """The distinct requests of a log, under ids of their own: what is asked often is decided once. Written, for several steps read it."""
+    distinct = asked.select("page_url", "url", "type").distinct()
+    return materialise(distinct.withColumn("request_id", F.monotonically_increasing_id()), "requests")
 
 
 def allowlisted(requests: DataFrame, domains: DataFrame) -> DataFrame:
@@ -113,17 +125,32 @@ def match_filters(requests: DataFrame, filters: DataFrame) -> DataFrame:
 
 
 def parse_cosmetics(lines: DataFrame) -> DataFrame:
-    """(pos, custom, domain, selector) of element-hiding lines; domain is '' where a line is for all pages."""
-    hiding = lines.filter(F.col("line").contains("##") & ~F.col("line").contains("##+"))
-    sides = F.split(F.trim("line"), "##", 2)
-    return hiding.select("pos", "custom", F.explode(F.split(sides[0], ",")).alias("domain"), sides[1].alias("selector")).filter("selector != ''")
+    """(pos, custom, domain, selector, exception) of element-hiding lines; domain is '' where a line is for all pages.
+
+    ``#@#`` lines and domains after ``~`` are exceptions: they take the selector away from their pages.
+    """
+    hiding = lines.filter(F.col("line").rlike("#@?#") & ~F.col("line").contains("##+"))
+    sides = F.split(F.trim("line"), "#@?#", 2)
+    except_line = F.col("line").contains("#@#")
+    named = F.split(sides[0], ",")
+    # A line that names only exceptions is for all other pages.
+    domains = F.when(F.forall(named, lambda d: d.startswith("~")), F.array_append(named, F.lit(""))).otherwise(named)
+    rows = hiding.select("pos", "custom", F.explode(domains).alias("domain"), sides[1].alias("selector"), except_line.alias("whole"))
+    return rows.filter("selector != ''").select("pos", "custom", F.regexp_replace("domain", "^~", "").alias("domain"), "selector", (F.col("whole") | F.col("domain").startswith("~")).alias("exception"))
+
 
+def cosmetic_selectors(pages: DataFrame, cosmetics: DataFrame, allowlist: DataFrame | None = None) -> DataFrame:
+    """(page_id, selectors): element-hiding selectors of the page's host and its parents, custom ones first, each once.
 
-def cosmetic_selectors(pages: DataFrame, cosmetics: DataFrame) -> DataFrame:
-    """(page_id, selectors): element-hiding selectors of the page's host and its parents, custom ones first, each once."""
+    A selector with an exception for the page is left out; pages of ``allowlist`` (domain) have none at all.
+    """
+    if allowlist is not None:
+        named = pages.select(F.col("page_id").alias("request_id"), F.col("url").alias("page_url"))
+        pages = pages.join(allowlisted(named, allowlist).select(F.col("request_id").alias("page_id")), "page_id", "left_anti")
     hosts = F.array_append(host_suffixes(F.regexp_replace(host(F.col("url")), r":\d+$", "")), F.lit(""))
     met = pages.select("page_id", F.explode(hosts).alias("domain")).join(cosmetics, "domain")
-    once = met.groupBy("page_id", "selector").agg(F.min(F.struct((~F.col("custom")).cast("int"), "pos")).alias("o"))
+    each = met.groupBy("page_id", "selector").agg(F.min(F.struct((~F.col("custom")).cast("int"), "pos")).alias("o"), F.bool_or("exception").alias("off"))
+    once = each.filter("not off")
     return once.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "selector"))), lambda x: x["selector"]).alias("selectors"))
 
 

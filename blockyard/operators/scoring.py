@@ -80,18 +80,32 @@ def stack_score(rows: DataFrame, blend: float = 0.7) -> DataFrame:
     )
 
 
-def blend_sweep(rows: DataFrame, thresholds: tuple[float, ...] = (0.0, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)) -> DataFrame:
-    """(threshold, n, right): trees at the threshold or above, else rules."""
+THRESHOLDS = (0.0, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
+
+
+def _blended(rows: DataFrame, thresholds: tuple[float, ...], *by: str) -> DataFrame:
     each = rows.select("final", "type", "tree_type", "tree_conf", F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"))
     call = F.when(F.col("tree_conf") >= F.col("threshold"), F.col("tree_type")).otherwise(F.col("type"))
-    return each.groupBy("threshold").agg(F.count("*").alias("n"), F.sum((call == F.col("final")).cast("long")).alias("right"))
+    return each.groupBy("threshold", *by).agg(F.count("*").alias("n"), F.sum((call == F.col("final")).cast("long")).alias("right"))
+
+
+def blend_sweep(rows: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
+    """(threshold, n, right): trees at the threshold or above, else rules."""
+    return _blended(rows, thresholds)
+
+
+def blend_sweep_by_type(rows: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, least: int = 5) -> DataFrame:
+    """(threshold, type, n, right) of the types with ``least`` labels or more."""
+    return _blended(rows, thresholds, "final").filter(F.col("n") >= least).withColumnRenamed("final", "type")
 
 
 def disposition_score(rows: DataFrame, blend: float = 0.7, sure: float = 0.8) -> DataFrame:
-    """(variant, truth, keep, demote, drop): regions of each true disposition by the one that rules, stack and careful stack call."""
+    """(variant, truth, keep, demote, drop): regions of each true disposition by the one that rules, stack and careful stack call; types outside the taxonomy are kept."""
     spark = rows.sparkSession
     of = lambda kind, name: F.broadcast(types_table(spark).select(F.col("type").alias(kind), F.col("disposition").alias(name)))
-    known = stack_calls(rows, blend).join(of("final", "truth"), "final").join(of("type", "d_rules"), "type").join(of("stack_type", "d_stack"), "stack_type")
+    known = stack_calls(rows, blend)
+    for kind, name in (("final", "truth"), ("type", "d_rules"), ("stack_type", "d_stack")):
+        known = known.join(of(kind, name), kind, "left").withColumn(name, F.coalesce(name, F.lit("keep")))
     certain = F.col("directory_type").isNotNull() | F.coalesce((F.col("tree_conf") >= sure) & (F.col("tree_type") == F.col("stack_type")), F.lit(False))
     careful = F.when((F.col("d_stack") == "drop") & ~certain, "demote").otherwise(F.col("d_stack"))
     each = known.select("truth", F.explode(F.array(F.struct(F.lit("rules").alias("variant"), F.col("d_rules").alias("d")), F.struct(F.lit("stack").alias("variant"), F.col("d_stack").alias("d")), F.struct(F.lit("careful").alias("variant"), careful.alias("d")))).alias("x")).select("truth", "x.*")

@@ -112,6 +112,10 @@ def write_oof(calls: DataFrame, path: str) -> None:
     calls.select("page_id", "idx", "tree_type", F.round("tree_conf", 3).alias("tree_conf")).write.mode("overwrite").parquet(path)
 
 
+def read_oof(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("page_id long, idx int, tree_type string, tree_conf double").parquet(path)
+
+
 def save_model(spark: SparkSession, model: dict, path: str) -> None:
     """A tree model, one small object, as JSON text."""
     spark.createDataFrame([(json.dumps(model),)], "value string").coalesce(1).write.mode("overwrite").text(path)

@@ -16,6 +16,11 @@ LATE = "10 seconds"
 SILENCE_MS = 3_600_000
 
 
+def _expire(state: GroupState, rows: pd.DataFrame) -> None:
+    """Let a key's state go when event time is an hour past its last row."""
+    state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int(rows["ts"].max().timestamp() * 1000) + SILENCE_MS))
+
+
 def decide_requests_stream(stream: DataFrame, rules_path: str, out_path: str, checkpoint: str, filters: DataFrame | None = None, allowlist: DataFrame | None = None):
     """Decide each micro-batch by the rule sets as they are on disk at that moment; decisions are appended to ``out_path``."""
 
@@ -43,7 +48,7 @@ def tab_counters_stream(events: DataFrame) -> DataFrame:
                 requests, blocked = requests + 1, blocked + int(cut)
                 out[nav] = (requests, blocked)
         state.update((nav, requests, blocked))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int(rows["ts"].max().timestamp() * 1000) + SILENCE_MS))
+        _expire(state, rows)
         yield pd.DataFrame([(key[0], n, r, b) for n, (r, b) in out.items()], columns=["tab_id", "nav_no", "requests", "blocked"])
 
     keyed = events.withWatermark("ts", LATE).groupBy("tab_id")
@@ -56,9 +61,12 @@ def blocked_updates_stream(events: DataFrame, every: str = "600 milliseconds") -
 
 
 def document_changes_stream(navigations: DataFrame) -> DataFrame:
-    """Navigations that bring a new document; state is each tab's last path and title."""
+    """Navigations that bring a new document; state is each tab's last path and title, and goes an hour of event time after the tab's last one."""
 
     def changed(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get if state.exists else None
         rows = pd.concat(list(frames)).sort_values(["ts", "nav_id"])
         out = []
@@ -68,22 +76,29 @@ def document_changes_stream(navigations: DataFrame) -> DataFrame:
                 out.append((key[0], nav_id, title))
             last = (path, title)
         state.update(last)
+        _expire(state, rows)
         yield pd.DataFrame(out, columns=["tab_id", "nav_id", "title"])
 
-    return navigations.groupBy("tab_id").applyInPandasWithState(changed, "tab_id long, nav_id long, title string", "path string, title string", "append", GroupStateTimeout.NoTimeout)
+    keyed = navigations.withWatermark("ts", LATE).groupBy("tab_id")
+    return keyed.applyInPandasWithState(changed, "tab_id long, nav_id long, title string", "path string, title string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def recent_log_stream(requests: DataFrame, n: int = 400) -> DataFrame:
-    """(tab_id, held): how many of its last ``n`` requests each tab holds after a batch; state is the list of their ids."""
+    """(tab_id, ids): the ids of each tab's last ``n`` requests after a batch, newest last; state is that list, and goes an hour of event time after the last request."""
 
     def keep(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(frames)).sort_values(["ts", "request_id"])
         held = (held + rows["request_id"].tolist())[-n:]
         state.update((held,))
-        yield pd.DataFrame({"tab_id": [key[0]], "held": [len(held)]})
+        _expire(state, rows)
+        yield pd.DataFrame({"tab_id": [key[0]], "ids": [held]})
 
-    return requests.groupBy("tab_id").applyInPandasWithState(keep, "tab_id long, held long", "ids array<long>", "update", GroupStateTimeout.NoTimeout)
+    keyed = requests.withWatermark("ts", LATE).groupBy("tab_id")
+    return keyed.applyInPandasWithState(keep, "tab_id long, ids array<long>", "ids array<long>", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def to_memory(frame: DataFrame, name: str, mode: str = "append") -> DataFrame:

@@ -31,4 +31,32 @@ def test_document_changes_equal_batch(spark, events):
 def test_recent_log(spark, events):
     _, stream = events
     got = jobs.to_memory(jobs.recent_log_stream(stream.withColumnRenamed("event_id", "request_id"), 5), "recent", "update")
-    assert got.count() > 0 and all(r["held"] <= 5 for r in got.collect())
+    assert got.count() > 0 and all(len(r["ids"]) <= 5 for r in got.collect())
+
+
+def test_decisions_equal_batch(spark, events, tmp_path):
+    import json
+
+    from blockyard.operators.requests import decide_requests
+    from blockyard.sources.files import read_rule_sets, rule_tables
+
+    rules = tmp_path / "rules"
+    rules.mkdir()
+    (rules / "a.json").write_text(json.dumps({"match": ["*news*"], "block": ["*/banner/*"]}))
+    (rules / "b.json").write_text(json.dumps({"match": ["*"], "redirect": [{"from": "https://cdn.example.org/*", "to": "https://own.example/$1"}]}))
+    batch, stream = events
+    shape = lambda df: df.withColumnRenamed("event_id", "request_id").select("request_id", "ts", "url", "page_url", "type")
+    jobs.decide_requests_stream(shape(stream), str(rules), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
+    want = decide_requests(shape(batch), *rule_tables(read_rule_sets(spark, str(rules))[0])).select("request_id", "decision", "target", "decided_by")
+    got = spark.read.parquet(str(tmp_path / "out")).select("request_id", "decision", "target", "decided_by")
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()} and got.count() == batch.count()
+    assert {r["decision"] for r in got.collect()} == {"allow", "block", "redirect"}
+
+
+def test_blocked_updates_equal_batch(spark, events):
+    from blockyard.operators.requests import blocked_updates
+
+    batch, stream = events
+    got = jobs.to_memory(jobs.blocked_updates_stream(stream), "updates", "update")
+    last = {(r["tab_id"], r["window_start"]): r["blocked"] for r in got.collect()}
+    assert last == {(r["tab_id"], r["window_start"]): r["blocked"] for r in blocked_updates(batch).collect()}

@@ -101,7 +101,9 @@ def _placed(docs: DataFrame, weights: dict[str, float] | None = None, block_docs
     """The rows of ``mix``, and the number of slots."""
     docs = docs.drop("mix_block", "mix_slot", "mix_position")
     source, hash_, bucket, rank, sum_before = fresh(docs, "_source", "_hash", "_bucket", "_rank", "_before")
-    named = docs.withColumn(source, F.coalesce(F.col("source").cast("string"), F.lit(""))).withColumn(hash_, F.xxhash64("doc_id", F.lit(seed)))
+    # Rows of one id, or of none, differ by their texts, so they spread over the ranges, too.
+    text = ["text"] if "text" in docs.columns else []
+    named = docs.withColumn(source, F.coalesce(F.col("source").cast("string"), F.lit(""))).withColumn(hash_, F.xxhash64("doc_id", *text, F.lit(seed)))
     counts = {r[source]: r["count"] for r in named.groupBy(source).count().collect()}
     told = tempered(counts) if weights is None else weights
     blocks = {s: -(-n // block_docs) for s, n in counts.items()}
@@ -118,8 +120,7 @@ def _placed(docs: DataFrame, weights: dict[str, float] | None = None, block_docs
     ranged = named.withColumn(bucket, F.least(F.floor((F.col(hash_) / float(1 << 64) + 0.5) * buckets), F.lit(buckets - 1)))
     sizes = ranged.groupBy(source, bucket).agg(F.count("*").alias("n"))
     before = sizes.select(source, bucket, (F.sum("n").over(Window.partitionBy(source).orderBy(bucket)) - F.col("n")).alias(sum_before))
-    tie = [F.xxhash64("text")] if "text" in docs.columns else []
-    within = Window.partitionBy(source, bucket).orderBy(hash_, "doc_id", *tie)
+    within = Window.partitionBy(source, bucket).orderBy(hash_, "doc_id", *text)
     ranked = ranged.withColumn(rank, F.row_number().over(within) - 1).join(before, [source, bucket]).withColumn(rank, F.col(rank) + F.col(sum_before))
     placed = ranked.withColumn("mix_block", F.floor(F.col(rank) / block_docs)).join(table, [source, "mix_block"])
     placed = placed.withColumn("mix_position", F.col("mix_slot") * block_docs + F.col(rank) % block_docs)
@@ -129,8 +130,8 @@ def _placed(docs: DataFrame, weights: dict[str, float] | None = None, block_docs
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = 64, frame: int = 1024, seed: int = 7, bucket_docs: int = 20_000) -> DataFrame:
     """The columns of ``docs`` with mix_block, mix_slot and mix_position (long): every row has a place in the mix.
 
-    Blocks hold ``block_docs`` rows of one source in a random order of doc_id that ``seed`` fixes, then of text where
-    there is one. ``weights`` defaults to the square roots of the sources' sizes; a source it lacks gets weight 0 and
+    Blocks hold ``block_docs`` rows of one source in a random order that ``seed`` fixes, by a hash of doc_id and of the
+    text where there is one. ``weights`` defaults to the square roots of the sources' sizes; a source it lacks gets weight 0 and
     comes after all others. A null source is the source ''. Null and repeated ids and empty texts take part as rows;
     repeated rows are interchangeable. Any number of sources: the driver plans with their names and sizes and a slot per
     block. ``frame`` has no effect, for weights are exact. Columns of the added names are replaced.

@@ -64,7 +64,9 @@ def decide_requests(requests: DataFrame, rule_match: DataFrame, rule_redirect: D
 
 def _pairs(asked: DataFrame) -> DataFrame:
     """The distinct requests of a log, under ids of their own: what is asked often is decided once. Written, for several steps read it."""
-    distinct = asked.select("page_url", "url", "type").distinct()
+    # Rows are short and patterns cost much time each, so partitions are not merged by their bytes.
+    parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = asked.select("page_url", "url", "type").repartition(parts, "page_url", "url", "type").distinct()
     return materialise(distinct.withColumn("request_id", F.monotonically_increasing_id()), "requests")
 
 

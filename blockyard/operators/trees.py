@@ -2,7 +2,8 @@
 
 Rows are dealt to partitions once, as bin bytes with their class. For each level of a round's trees every partition
 adds up gradients and hessians by (class, node, feature, bin); only these sums are shuffled, and their size depends on
-classes, nodes and bins, not on rows. The driver picks splits from sums of bounded size.
+classes, nodes and bins, not on rows. The task that adds up a node's sums also picks its split, so the driver gets one
+small row a node. Every few rounds the rows take their scores along, so that a round meets the latest trees only.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialise
+
 
 @dataclass
 class Options:
@@ -37,10 +40,10 @@ class Model:
     rate: float
     trees: list[dict[int, dict[int, list]]] = field(default_factory=list)  # round -> class -> node -> [feature, bin] or [leaf value]
 
-    def scores(self, bins: np.ndarray, only: dict | None = None) -> np.ndarray:
-        """Raw scores of binned rows; ``only`` one round's trees."""
-        out = np.zeros((len(bins), len(self.classes))) if only is not None else np.tile(self.base, (len(bins), 1))
-        for trees in [only] if only is not None else self.trees:
+    def scores(self, bins: np.ndarray, held: np.ndarray | None = None, since: int = 0) -> np.ndarray:
+        """Raw scores of binned rows; ``held`` are those of the rounds before ``since``."""
+        out = np.tile(self.base, (len(bins), 1)) if held is None else held.copy()
+        for trees in self.trees[since:]:
             for k, nodes in trees.items():
                 at = np.ones(len(bins), np.int64)
                 for node in sorted(nodes):
@@ -83,9 +86,26 @@ def fit_bins(rows: DataFrame, dims: int, bins: int = 32, features: str = "featur
     return [sorted(set(c or [])) for c in cuts]
 
 
-def _rows(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    x = np.stack([np.frombuffer(b, np.uint8) for b in frame["bins"]])
-    return x, frame["y"].to_numpy(), frame["key"].to_numpy()
+def _rows(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    x, held = (np.stack([np.frombuffer(b, t) for b in frame[c]]) for c, t in (("bins", np.uint8), ("held", np.float64)))
+    return x, frame["y"].to_numpy(), frame["key"].to_numpy(), held
+
+
+def _split(hist: np.ndarray, columns: np.ndarray, leaf: bool, o: Options) -> list:
+    """[feature, bin] of the best split of a node's sums (feature, bin, (g, h, count)), or [leaf value]."""
+    g, h, _ = hist[0].sum(0)
+    if not leaf:
+        left = hist.cumsum(1)[:, :-1]
+        right = hist.sum(1)[:, None] - left
+        gain = left[..., 0] ** 2 / (left[..., 1] + o.smooth) + right[..., 0] ** 2 / (right[..., 1] + o.smooth) - g**2 / (h + o.smooth)
+        gain[(left[..., 2] < o.min_leaf) | (right[..., 2] < o.min_leaf)] = -np.inf
+        j, b = np.unravel_index(int(gain.argmax()), gain.shape)
+        if gain[j, b] > o.gamma + 1e-12:
+            return [int(columns[j]), int(b)]
+    return [float(-g / (h + o.smooth))]
+
+
+HOLD = 8  # rounds after which the rows take their scores along
 
 
 def train(rows: DataFrame, label: str, dims: int, options: Options | None = None, features: str = "features") -> Model:
@@ -105,30 +125,43 @@ def train(rows: DataFrame, label: str, dims: int, options: Options | None = None
     def to_bins(frames):
         for f in frames:
             x = shared.value.bin(np.stack(f["x"].to_numpy()).astype(float)) if len(f) else np.zeros((0, dims), np.uint8)
-            yield pd.DataFrame({"bins": [r.tobytes() for r in x], "y": f["y"], "key": f["key"]})
+            held = np.array(shared.value.base, np.float64).tobytes()
+            yield pd.DataFrame({"bins": [r.tobytes() for r in x], "y": f["y"], "key": f["key"], "held": [held] * len(x)})
 
     raw = rows.select(F.col(features).cast("array<double>").alias("x"), code.cast("int").alias("y"), F.xxhash64(features, label).alias("key"))
-    data = raw.mapInPandas(to_bins, "bins binary, y int, key long").persist()  # rebuilt from rows if an executor is lost
+    kind = "bins binary, y int, key long, held binary"
+    data, since = materialise(raw.mapInPandas(to_bins, kind), "tree-rows"), 0
     rng = np.random.default_rng(o.seed)
     for round_ in range(o.rounds):
+        if round_ - since == HOLD:
+            grown = spark.sparkContext.broadcast((model, since))
+
+            def hold(frames, grown=grown):
+                model, since = grown.value
+                for f in frames:
+                    if len(f):
+                        x, _, _, held = _rows(f)
+                        yield f.assign(held=[r.tobytes() for r in model.scores(x, held, since)])
+
+            data, since = materialise(data.mapInPandas(hold, kind), "tree-rows"), round_
         columns = np.sort(rng.choice(dims, max(1, int(dims * o.column_share)), False))
         salt, trees = int(rng.integers(1 << 62)), {k: {1: []} for k in range(len(classes))}
         for depth in range(o.depth + 1):
             open_nodes = [(k, node) for k, nodes in trees.items() for node, x in nodes.items() if x == []]
             if not open_nodes:
                 break
-            state = spark.sparkContext.broadcast((model, trees, columns, salt))
+            state = spark.sparkContext.broadcast((model, trees, columns, salt, since))
 
             def sums(frames, state=state):
-                model, trees, columns, salt = state.value
+                model, trees, columns, salt, since = state.value
                 total: dict[tuple[int, int], np.ndarray] = {}
                 for f in frames:
                     if not len(f):
                         continue
-                    x, y, key = _rows(f)
+                    x, y, key, held = _rows(f)
                     used = ((key ^ salt).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) / (1 << 24) < o.row_share
                     x, y = x[used], y[used]
-                    p = softmax(model.scores(x))
+                    p = softmax(model.scores(x, held[used], since))
                     for k, nodes in trees.items():
                         at = np.ones(len(x), np.int64)
                         for node in sorted(nodes):
@@ -145,34 +178,23 @@ def train(rows: DataFrame, label: str, dims: int, options: Options | None = None
                                     out[j, :, i] += np.bincount(x[here, c], w, minlength=o.bins)
                 yield pd.DataFrame([(k, n, v.tobytes()) for (k, n), v in total.items()], columns=["k", "node", "sums"])
 
-            def merged(frame: pd.DataFrame) -> pd.DataFrame:
-                return pd.DataFrame({"k": frame["k"][:1], "node": frame["node"][:1], "sums": [sum(np.frombuffer(b) for b in frame["sums"]).tobytes()]})
+            leaf = depth == o.depth
+
+            def choose(frame: pd.DataFrame) -> pd.DataFrame:
+                hist = sum(np.frombuffer(b) for b in frame["sums"]).reshape(len(columns), o.bins, 3)
+                return pd.DataFrame({"k": frame["k"][:1], "node": frame["node"][:1], "found": [list(map(float, _split(hist, columns, leaf, o)))]})
 
-            kind = "k int, node int, sums binary"
-            found = data.mapInPandas(sums, kind).groupBy("k", "node").applyInPandas(merged, kind).collect()
-            got = {(r["k"], r["node"]): np.frombuffer(r["sums"]).reshape(len(columns), o.bins, 3) for r in found}
+            parts = data.mapInPandas(sums, "k int, node int, sums binary")
+            found = parts.groupBy("k", "node").applyInPandas(choose, "k int, node int, found array<double>").collect()
+            got = {(r["k"], r["node"]): r["found"] for r in found}
             for k, node in open_nodes:
-                hist = got.get((k, node))
-                if hist is None:
-                    trees[k][node] = [0.0]
-                    continue
-                g, h, c = hist[0].sum(0)
-                best = None
-                if depth < o.depth:
-                    left = hist.cumsum(1)[:, :-1]
-                    right = hist.sum(1)[:, None] - left
-                    gain = left[..., 0] ** 2 / (left[..., 1] + o.smooth) + right[..., 0] ** 2 / (right[..., 1] + o.smooth) - g**2 / (h + o.smooth)
-                    gain[(left[..., 2] < o.min_leaf) | (right[..., 2] < o.min_leaf)] = -np.inf
-                    j, b = np.unravel_index(int(gain.argmax()), gain.shape)
-                    if gain[j, b] > o.gamma + 1e-12:
-                        best = [int(columns[j]), int(b)]
-                if best:
-                    trees[k][node], trees[k][2 * node], trees[k][2 * node + 1] = best, [], []
+                best = got.get((k, node), [0.0])  # a node that the row sample leaves empty adds nothing
+                if len(best) == 2:
+                    trees[k][node], trees[k][2 * node], trees[k][2 * node + 1] = [int(v) for v in best], [], []
                 else:
-                    trees[k][node] = [float(-g / (h + o.smooth))]
+                    trees[k][node] = best
             state.unpersist()
         model.trees.append(trees)
-    data.unpersist()
     return model
 
 

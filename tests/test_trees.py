@@ -45,3 +45,22 @@ def test_out_of_fold(spark):
     df = table(spark, 120)
     out = cross_validate(df, "label", 3, 2, F.col("id") % 2, Options(rounds=2, depth=2, rate=0.4))
     assert out.count() == 120 and out.filter("tree_type = label").count() > 60
+
+
+def test_rounds_beyond_the_held_scores(spark):
+    df = table(spark, 150)
+    m = train(df, "label", 3, Options(rounds=10, depth=1, rate=0.4, row_share=1.1, column_share=1.0))
+    rows = df.collect()
+    x, y = m.bin(np.array([r["features"] for r in rows])), [r["label"] for r in rows]
+    s, n = np.tile(m.base, (len(x), 1)), len(rows)
+    for trees in m.trees:  # brute force: the leaves of every round from the scores of all rounds before
+        p, add = softmax(s), np.zeros_like(s)
+        for k, nodes in trees.items():
+            is_k = np.array([v == m.classes[k] for v in y])
+            side = np.ones(n, int) if len(nodes) == 1 else 2 + (x[:, nodes[1][0]] > nodes[1][1])
+            for node in set(side):
+                g, h = (p[:, k] - is_k)[side == node], np.maximum(p[:, k] * (1 - p[:, k]), 1e-6)[side == node]
+                assert np.isclose(nodes[node][0], -g.sum() / (h.sum() + 1))
+                add[side == node, k] = nodes[node][0] * 0.4
+        s += add
+    assert len(m.trees) == 10 and np.allclose(s, m.scores(x))

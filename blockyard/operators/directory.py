@@ -87,8 +87,12 @@ def resolve_tier(pages: DataFrame, site_tier: DataFrame, rule_tier: DataFrame, o
 
 
 def merge_directory(existing: DataFrame, derived: DataFrame) -> DataFrame:
-    """Entries after a new derivation: a derived site replaces its old entry, other sites and unknown columns survive."""
+    """Entries after a new derivation: a derived site's rows replace its old ones, and keep what columns it does not derive say of the site; other sites stay."""
     kept = existing.join(derived.select("site").distinct(), "site", "left_anti")
+    unknown = [c for c in existing.columns if c not in derived.columns]
+    if unknown:
+        told = existing.groupBy("site").agg(*(F.any_value(c, F.lit(True)).alias(c) for c in unknown))
+        derived = derived.join(told, "site", "left")
     return kept.unionByName(derived, allowMissingColumns=True)
 
 

@@ -62,6 +62,11 @@ def run_stats(labels: DataFrame, below: float = 0.5) -> DataFrame:
     return sums.withColumn("_one", F.lit(1)).join(ranks.withColumn("_one", F.lit(1)), "_one").drop("_one")  # a row each
 
 
+def latency_stats(labels: DataFrame) -> DataFrame:
+    """One row: median and p90 of the column ms."""
+    return ranked_quantiles(labels, "ms", {"median": 0.5, "p90": 0.9})
+
+
 def ranked_quantiles(values: DataFrame, column: str, shares: dict[str, float]) -> DataFrame:
     """One row of exact rank quantiles of a large column.
 
@@ -84,6 +89,19 @@ def label_summary(labels: DataFrame) -> DataFrame:
     return labels.groupBy("choice").agg(F.count("*").alias("n"), F.sum(F.col("flagged").cast("long")).alias("flagged"), F.round(F.avg("confidence"), 3).alias("mean_confidence"))
 
 
+def label_totals(labels: DataFrame, below: float = 0.5, tie: float = 0.1) -> DataFrame:
+    """One row: pages, regions, and how many are unsure, tied, or either."""
+    unsure, tied = F.col("confidence") < below, F.col("margin") < tie
+    count = lambda c: F.sum(c.cast("long"))
+    return labels.agg(F.count_distinct("page_id").alias("pages"), F.count("*").alias("regions"), count(unsure).alias("low_confidence"), count(tied).alias("ties"), count(unsure | tied).alias("either"))
+
+
+def application_scores(pages: DataFrame) -> DataFrame:
+    """Adds disagrees to pages (page_id, tier, application): a contained page that seems no application, or a relayout one that does. A page without score agrees."""
+    odd = ((F.col("tier") == "contained") & (F.col("application") < 0.5)) | ((F.col("tier") == "relayout") & (F.col("application") > 0.5))
+    return pages.withColumn("disagrees", F.coalesce(odd, F.lit(False)))
+
+
 def unused_types(labels: DataFrame, types: DataFrame) -> DataFrame:
     return types.select("type").join(labels.select(F.col("choice").alias("type")).distinct(), "type", "left_anti")
 
@@ -99,14 +117,16 @@ def confused_pairs(labels: DataFrame) -> DataFrame:
     return both.groupBy(F.col("p")[0].alias("a"), F.col("p")[1].alias("b")).agg(F.count("*").alias("n"))
 
 
-def compare_runs(before: DataFrame, after: DataFrame, below: float = 0.5) -> DataFrame:
-    """One row on two runs (url, text, seq, choice, confidence), paired by url and the first 60 characters of text.
-
-    The last row of a key, by seq, stands for it.
-    """
+def _paired(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Runs (url, text, seq, choice, confidence) paired by url and the first 60 characters of text; the last row of a key, by seq, stands for it."""
     key = lambda run: run.withColumn("key", F.left("text", F.lit(60)))
     last = lambda run, p: key(run).groupBy("url", "key").agg(F.max_by("choice", "seq").alias(f"{p}_choice"), F.max_by("confidence", "seq").alias(f"{p}_conf"))
-    pairs = last(before, "a").join(last(after, "b"), ["url", "key"])
+    return last(before, "a").join(last(after, "b"), ["url", "key"])
+
+
+def compare_runs(before: DataFrame, after: DataFrame, below: float = 0.5) -> DataFrame:
+    """One row on two paired runs: how many rows moved which way."""
+    pairs = _paired(before, after)
     delta = F.col("b_conf") - F.col("a_conf")
     count = lambda c: F.sum(c.cast("long"))
     return pairs.agg(
@@ -116,6 +136,13 @@ def compare_runs(before: DataFrame, after: DataFrame, below: float = 0.5) -> Dat
     )
 
 
+def moved_labels(before: DataFrame, after: DataFrame, least: float = 0.15) -> DataFrame:
+    """(kind, url, key, a_choice, a_conf, b_choice, b_conf, delta) of paired rows that lost or gained confidence, or were relabelled at a similar one; largest change of a kind first."""
+    told = _paired(before, after).withColumn("delta", F.round(F.col("b_conf") - F.col("a_conf"), 3))
+    kind = F.when(F.col("delta") < -least, "lost").when(F.col("delta") > least, "gained").when(F.col("a_choice") != F.col("b_choice"), "relabelled")
+    return told.withColumn("kind", kind).filter("kind is not null").orderBy("kind", F.desc(F.abs("delta")), "url", "key")
+
+
 def review_score(labels: DataFrame, judgements: DataFrame) -> DataFrame:
     """(flagged, judged, ok, either, wrong, unsure) of judged labels by flag."""
     met = labels.join(judgements.select("page_id", "idx", "verdict"), ["page_id", "idx"])
@@ -123,6 +150,34 @@ def review_score(labels: DataFrame, judgements: DataFrame) -> DataFrame:
     return met.groupBy("flagged").agg(F.count("*").alias("judged"), *(F.sum((kind == k).cast("long")).alias(k) for k in ("ok", "either", "wrong", "unsure")))
 
 
+def _judged(labels: DataFrame, judgements: DataFrame) -> DataFrame:
+    met = labels.join(judgements.select("page_id", "idx", "verdict"), ["page_id", "idx"])
+    return met.withColumn("kind", F.substring_index("verdict", ":", 1))
+
+
+def _tally() -> list:
+    return [F.sum((F.col("kind") == k).cast("long")).alias(k) for k in ("ok", "either", "wrong", "unsure")]
+
+
+def review_totals(labels: DataFrame, judgements: DataFrame) -> DataFrame:
+    """One row: judged, the verdicts, and the shares right, acceptable and wrong of those decided; null where none is."""
+    sums = _judged(labels, judgements).agg(F.count("*").alias("judged"), *_tally())
+    decided = F.nullif(F.col("ok") + F.col("either") + F.col("wrong"), F.lit(0))
+    share = lambda c: F.round(c / decided, 3)
+    return sums.withColumns({"right": share(F.col("ok")), "acceptable": share(F.col("ok") + F.col("either")), "wrong_share": share(F.col("wrong"))})
+
+
+def review_by_type(labels: DataFrame, judgements: DataFrame) -> DataFrame:
+    """(choice, judged, ok, either, wrong, unsure)."""
+    return _judged(labels, judgements).groupBy("choice").agg(F.count("*").alias("judged"), *_tally())
+
+
+def review_confusions(labels: DataFrame, judgements: DataFrame) -> DataFrame:
+    """(choice, should, n) of labels judged wrong; should is ``?`` where the verdict names no type."""
+    should = F.coalesce(F.get(F.split("verdict", ":"), F.lit(1)), F.lit("?"))
+    return _judged(labels, judgements).filter("kind = 'wrong'").groupBy("choice", F.when(should == "", "?").otherwise(should).alias("should")).agg(F.count("*").alias("n"))
+
+
 def unknown_judgements(judgements: DataFrame, labels: DataFrame) -> DataFrame:
     return judgements.join(labels.select("page_id", "idx"), ["page_id", "idx"], "left_anti")
 
@@ -141,6 +196,23 @@ def label_requests(regions: DataFrame) -> DataFrame:
     return told.select("page_id", "idx", "text", F.lag("brief").over(page).alias("before"), F.lead("brief").over(page).alias("after"))
 
 
+def label_states(regions: DataFrame, pages: DataFrame) -> DataFrame:
+    """(page_id, idx, url, title, text, before, after): what a labelling model is told of a region; neighbours are named with their landmarks. Regions of unknown pages have null url and title."""
+    page = Window.partitionBy("page_id").orderBy("idx")
+    where = F.when(F.size("landmarks") > 0, F.concat(F.lit(" in "), F.array_join("landmarks", ">"))).otherwise("")
+    brief = F.concat(F.col("tag"), where, F.lit(": "), F.translate(F.left("text", F.lit(80)), "\n", " "))
+    told = regions.withColumn("brief", brief).withColumns({"before": F.lag("brief").over(page), "after": F.lead("brief").over(page)})
+    return told.join(pages.select("page_id", "url", "title"), "page_id", "left").select("page_id", "idx", "url", "title", "text", "before", "after")
+
+
+def page_summaries(regions: DataFrame) -> DataFrame:
+    """(page_id, regions, summary): tag, landmarks, characters, links and controls of a page's regions in order."""
+    where = F.when(F.size("landmarks") > 0, F.concat(F.lit("("), F.array_join("landmarks", ">"), F.lit(")"))).otherwise("")
+    line = F.concat("tag", where, F.lit(" "), F.col("text_length"), F.lit("ch "), F.col("links"), F.lit("a "), F.col("controls"), F.lit("ctl"))
+    held = F.array_sort(F.collect_list(F.struct("idx", line.alias("line"))))
+    return regions.groupBy("page_id").agg(F.count("*").alias("regions"), F.array_join(F.transform(held, lambda x: x["line"]), "; ").alias("summary"))
+
+
 def audit_hints(flags: DataFrame, labels: DataFrame, least: int = 5) -> DataFrame:
     """(flag, matches, sites, type, precision) of flags (page_id, idx, site, flag) set on at least ``least`` labelled regions."""
     met = flags.join(labels.select("page_id", "idx", "final"), ["page_id", "idx"])

@@ -163,16 +163,32 @@ def unaccounted(counts: DataFrame) -> DataFrame:
     return counts.filter(F.col("keep") + F.col("demote") + F.col("drop") != F.col("total"))
 
 
-def assemble_pages(calls: DataFrame) -> DataFrame:
-    """One row per page: body (kept blocks in order, a run of cards sharing a group), aside (demoted), dropped (type and snippet)."""
-    card = (F.col("disposition") == "keep") & (F.col("block") == "cards")
+def assemble_pages(calls: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """One row per page: body (kept blocks in order, single cards sharing a group), aside (demoted), dropped (type and snippet).
+
+    Cards in a row share a group, and bylines after a card go to it (role ``card_byline``). Given ``pages`` (page_id,
+    title), title is what to put first: the page's title where no block kept or set aside is one; null else.
+    """
     order = Window.partitionBy("page_id", "disposition").orderBy("idx")
-    new = ~(card & F.coalesce(F.lag(card).over(order), F.lit(False)))
-    grouped = calls.withColumn("grp", F.sum(new.cast("int")).over(order))
-    item = F.struct("idx", "grp", "block", "type", "text")
+    keep = F.col("disposition") == "keep"
+    alone = F.coalesce(F.col("repeats"), F.lit(1)) <= 1 if "repeats" in calls.columns else F.lit(True)
+    card = keep & F.coalesce((F.col("block") == "cards") & alone, F.lit(False))
+    byline = keep & ~card & (F.col("type") == "byline")
+    # A run of cards and bylines holds one grid, which begins with the run's first card.
+    runs = calls.withColumns({"_card": card, "_byline": byline}).withColumn("_run", F.sum((~(F.col("_card") | F.col("_byline"))).cast("int")).over(order))
+    inside = Window.partitionBy("page_id", "disposition", "_run").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    opened = runs.withColumn("_open", F.coalesce(F.max("_card").over(inside), F.lit(False)) & (F.col("_card") | F.col("_byline")))
+    role = F.when(F.col("_card"), "card").when(F.col("_byline") & F.col("_open"), "card_byline").otherwise("block")
+    grouped = opened.withColumns({"grp": F.sum((~F.col("_open")).cast("int")).over(order), "role": role})
+    item = F.struct("idx", "grp", "block", "type", "text", "role")
     listed = lambda d, s: F.array_sort(F.collect_list(F.when(F.col("disposition") == d, s)))
-    return grouped.groupBy("page_id").agg(
+    out = grouped.groupBy("page_id").agg(
         listed("keep", item).alias("body"),
         listed("demote", item).alias("aside"),
         listed("drop", F.struct("idx", "type", F.left("text", F.lit(90)).alias("snippet"))).alias("dropped"),
+        F.bool_or((F.col("type") == "title") & (F.col("disposition") != "drop")).alias("_titled"),
     )
+    if pages is None:
+        return out.drop("_titled")
+    named = out.join(pages.select("page_id", F.col("title").alias("_title")), "page_id", "left")
+    return named.withColumn("title", F.when(~F.coalesce("_titled", F.lit(False)) & (F.col("_title") != ""), F.col("_title"))).drop("_titled", "_title")

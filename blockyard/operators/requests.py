@@ -171,6 +171,31 @@ def filter_hits(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy(by.alias("decided_by")).agg(F.count("*").alias("requests"), count("block").alias("blocked"), count("redirect").alias("redirected"))
 
 
+def decision_totals(decisions: DataFrame) -> DataFrame:
+    """One row: requests checked, blocked and redirected."""
+    count = lambda d: F.sum((F.col("decision") == d).cast("long"))
+    return decisions.agg(F.count("*").alias("checked"), count("block").alias("blocked"), count("redirect").alias("redirected"))
+
+
+def blocked_per_page(decisions: DataFrame) -> DataFrame:
+    """(page_url, checked, blocked)."""
+    return decisions.groupBy("page_url").agg(F.count("*").alias("checked"), F.sum((F.col("decision") == "block").cast("long")).alias("blocked"))
+
+
+def recent_messages(messages: DataFrame, level: str = "all", pattern: str | None = None, limit: int = 100, kept: int = 400) -> DataFrame:
+    """The last ``limit`` of each tab's last ``kept`` console messages (tab_id, ts, message_id, level, message), newest first as place 1.
+
+    ``level`` goes by its first letter, and ``pattern`` disregards case.
+    """
+    by = Window.partitionBy("tab_id").orderBy(F.desc("ts"), F.desc("message_id"))
+    held = messages.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= kept)
+    if level != "all":
+        held = held.filter(F.lower("level").startswith(level[0]))
+    if pattern:
+        held = held.filter(F.col("message").rlike(f"(?i){pattern}"))
+    return held.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= limit)
+
+
 def recent_requests(requests: DataFrame, pattern: str, limit: int = 100, kept: int = 400) -> DataFrame:
     """The last ``limit`` of each tab's last ``kept`` requests whose URL matches, newest first as place 1."""
     by = Window.partitionBy("tab_id").orderBy(F.desc("ts"), F.desc("request_id"))

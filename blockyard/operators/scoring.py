@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sites import split_of
@@ -47,6 +47,13 @@ def confusions(rows: DataFrame, most: int = 60) -> DataFrame:
     return by_rule.groupBy("final", "type").agg(F.sum("c").alias("n"), told.alias("rules")).orderBy(F.desc("n"), "final", "type").limit(most)
 
 
+def confusion_examples(rows: DataFrame, most: int = 4) -> DataFrame:
+    """(final, type, place, page_id, idx, rule, tag, snippet): the first ``most`` regions of each confusion; a task keeps no more of one before the shuffle."""
+    first = Window.partitionBy("final", "type").orderBy("page_id", "idx")
+    seen = rows.filter("not lenient").withColumn("place", F.row_number().over(first)).filter(F.col("place") <= most)
+    return seen.select("final", "type", "place", "page_id", "idx", "rule", "tag", F.translate(F.left("text", F.lit(80)), "\n", " ").alias("snippet"))
+
+
 def rule_use(rows: DataFrame) -> DataFrame:
     return rows.groupBy("rule").agg(F.count("*").alias("n"), F.sum(F.col("lenient").cast("long")).alias("right"))
 
@@ -118,3 +125,11 @@ def scorecard_diff(now: DataFrame, before: DataFrame, least: int = 5, fall: floa
     b = before.select("scope", "type", F.col("f1").alias("f1_before"))
     delta = F.round(F.col("f1") - F.col("f1_before"), 3)
     return a.join(b, ["scope", "type"], "full_outer").select("scope", "type", "f1", "f1_before", delta.alias("delta"), F.coalesce((F.col("n") >= least) & (delta < -fall), F.lit(False)).alias("regressed"))
+
+
+def headline_diff(now: DataFrame, before: DataFrame) -> DataFrame:
+    """(scope, measure, value, before, delta) of two ``score`` tables; a scope of one run alone has a null side."""
+    names = ["strict", "lenient", "block", "slot", "axes", "macro_f1"]
+    long = lambda card, value: card.select("scope", *(F.col(c).cast("double") for c in names)).unpivot("scope", names, "measure", value)
+    met = long(now, "value").join(long(before, "before"), ["scope", "measure"], "full_outer")
+    return met.withColumn("delta", F.round(F.col("value") - F.col("before"), 3))

@@ -573,6 +573,8 @@ def x5_boosted_trees(spark, sf_dir):
     return trees.predict(rows, model).select("vec_id", "label", "tree_type", "tree_conf")
 
 
-from . import page_queries  # noqa: E402  registers further queries
+from . import page_queries, report_queries, stream_queries  # noqa: E402  register further queries
 
 page_queries.register(query)
+report_queries.register(query)
+stream_queries.register(query)

@@ -22,11 +22,11 @@ def _expire(state: GroupState, rows: pd.DataFrame) -> None:
 
 
 def decide_requests_stream(stream: DataFrame, rules_path: str, out_path: str, checkpoint: str, filters: DataFrame | None = None, allowlist: DataFrame | None = None):
-    """Decide each micro-batch by the rule sets as they are on disk at that moment; decisions are appended to ``out_path``."""
+    """Decide each micro-batch by the rule sets as they are on disk at that moment; a batch has its own folder in ``out_path``, so one that is repeated replaces itself."""
 
-    def decide(batch: DataFrame, _: int) -> None:
+    def decide(batch: DataFrame, number: int) -> None:
         match, redirect, block = rule_tables(read_rule_sets(batch.sparkSession, rules_path)[0])
-        decide_requests(batch, match, redirect, block, filters, allowlist).write.mode("append").parquet(out_path)
+        decide_requests(batch, match, redirect, block, filters, allowlist).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
 
     return stream.writeStream.foreachBatch(decide).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -101,6 +101,16 @@ def recent_log_stream(requests: DataFrame, n: int = 400) -> DataFrame:
     return keyed.applyInPandasWithState(keep, "tab_id long, ids array<long>", "ids array<long>", "update", GroupStateTimeout.EventTimeTimeout)
 
 
+def run_available(frame: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what is there and give its rows with their batch, written to ``folder``; a batch that is repeated replaces itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    frame.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return frame.sparkSession.read.schema(f"{', '.join(f'`{n}` {t}' for n, t in frame.dtypes)}, batch long").parquet(f"{folder}/rows")
+
+
 def to_memory(frame: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is available and give its result as a table; for tests and small jobs."""
     running = frame.writeStream.format("memory").queryName(name).outputMode(mode).start()

@@ -569,7 +569,7 @@ def flagship_page_blocks(spark, sf_dir):
 @query()
 def x5_boosted_trees(spark, sf_dir):
     rows = read(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").alias("features"))
-    model = trees.train(rows, "label", 64, trees.Options(rounds=3, depth=3))
+    model = trees.train(rows, "label", 64)
     return trees.predict(rows, model).select("vec_id", "label", "tree_type", "tree_conf")
 
 

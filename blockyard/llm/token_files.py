@@ -34,6 +34,7 @@ _FAST = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 _ALL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 MOST_CACHED = 300_000
 BLOCK_IDS = 1 << 22
+TIE_CHARS = 256
 LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 BLOCKS = "shard int, block int, n_ids long, doc_ids array<long>, lengths array<int>, ranks binary, control binary, data binary"
@@ -119,7 +120,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, bl
     """Encode every text, append ``end_id`` and write blocks of about ``block_ids`` ids to ``path``.
 
     ``tokenizer`` is the path of a file in the tokenizers format. Null text is empty, so its document is ``end_id``
-    alone; a null doc_id comes first; equal doc_ids are ordered by text; other columns are ignored.
+    alone; a null doc_id comes first; equal doc_ids are ordered by text; other columns are ignored. A doc_id of very
+    many rows is split by the first ``TIE_CHARS`` characters of their texts; longer texts that are equal so far stay in one task.
     """
     with open(tokenizer, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -155,7 +157,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, bl
         if held:
             yield flush()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows of one doc_id are dealt by how their texts begin; copies whose text that is as a whole are dealt at will.
+    begins = F.left(F.coalesce("text", F.lit("")), F.lit(TIE_CHARS))
+    spread = F.when(F.length(F.coalesce("text", F.lit(""))) < TIE_CHARS, F.rand(1)).otherwise(0.0)
+    ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id", begins, spread).sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(encode, BLOCKS).write.option("compression", "zstd").parquet(path)
     return path
 

@@ -34,7 +34,7 @@ _FAST = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 _ALL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 MOST_CACHED = 300_000
 BLOCK_IDS = 1 << 22
-TIE_CHARS = 256
+TIE_CHARS = 64
 LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 BLOCKS = "shard int, block int, n_ids long, doc_ids array<long>, lengths array<int>, ranks binary, control binary, data binary"

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import nearest
 from .bpe import PATTERN, encode_decode, with_digests
+from .centroid_clusters import cluster
 from .chat_rotation import rotate
+from .importance_sampling import importance_resample
 from .interpolated_lm import score_texts
 from .jaccard_join import jaccard_join
+from .personal_data import find_personal, personal_digests
 from .pfair_mix import mix
 from .quality_rules import quality_rules
 from .secret_scan import find_secrets, secret_digests
@@ -21,9 +24,8 @@ from .weak_labels import quality_classifier
 
 
 def vocabulary(name: str) -> str:
-    """Path of a public tokenizer's file; the environment may name another folder."""
-    folder = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
-    return os.path.join(folder, name)
+    """Path of a public tokenizer's file."""
+    return str(path(name))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +75,19 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return importance_resample(docs, table(spark, sf_dir, "benchmark"), with_text=False)
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(table(spark, sf_dir, "embeddings")).drop("n_measured")
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_digests(find_personal(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_lexicon": op1_bpe_lexicon,
     "op2_deleted_interpolation": op2_deleted_interpolation,
@@ -84,9 +99,67 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_quality_rules": op9_quality_rules,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_importance_resample": op11_importance_resample,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_personal_data": op13_personal_data,
 }
 
+#: Buckets of words by a CRC-32 register that goes over their bytes; distinct words only.
+IMPORTANCE_SQL = r"""
+with recursive bits as (
+  select i, 0 as turn, i::bigint as v from range(256) t(i)
+  union all select i, turn + 1, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end from bits where turn < 8),
+steps as (select list(v order by i) as tab from bits where turn = 8),
+words as (
+  select 'd' as side, rowid as id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as word
+  from (select row_number() over () as rowid, text from documents)
+  union all
+  select 'b', 0, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) from benchmark),
+coded as (
+  select word, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, length(hex(encode(word))) // 2), lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::bigint)),
+    lambda c, b: xor(tab[xor(c & 255, b) + 1], c >> 8)), 4294967295) % 10000 as bucket
+  from (select distinct word from words), steps),
+told as (select side, id, bucket from words join coded using (word)),
+counts as (select bucket, count(*) filter (side = 'd') as s, count(*) filter (side = 'b') as t from told group by bucket),
+totals as (select coalesce(sum(s), 0)::double as s_all, coalesce(sum(t), 0)::double as t_all from counts),
+gains as (select bucket, floor(1000 * ln((t + 1)::double * (s_all + 10000) / ((s + 1)::double * (t_all + 10000))))::bigint as gain
+  from counts, totals),
+weighed as (select id, count(*) as n_features, sum(gain)::bigint as weight from told join gains using (bucket) where side = 'd' group by id),
+scored as (
+  select doc_id, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint as score
+  from (select row_number() over () as id, doc_id from documents) left join weighed using (id)),
+placed as (select *, row_number() over (partition by n_features >= 20 order by score desc, doc_id nulls last, n_features) as place, count(*) filter (n_features >= 20) over () as able from scored)
+select doc_id, n_features::bigint as n_features, weight, score, case when n_features >= 20 and place <= able * 10 // 100 then place end as rank from placed"""
+
+
+def _clusters_sql() -> str:
+    """The assignments of ``cluster``, one after the other, by full scans."""
+    steps = [
+        """kept as (select vec_id, v from (
+  select vec_id, case when len(embedding) = 64 and not list_contains(list_transform(embedding, lambda x: coalesce(isfinite(x), false)), false)
+    then list_transform(embedding, lambda x: floor(64 * x::double)::bigint) end as v from embeddings) where v is not null)""",
+        "c0 as (select row_number() over (order by sha256('1:' || coalesce(vec_id::varchar, '')), v) - 1 as c, v as m from kept qualify c < 16)",
+        "r as (select row_number() over () as id, vec_id, v from kept)",
+    ]
+    for turn in range(4):
+        steps.append(f"""a{turn} as (select id, vec_id, v, c, d from (
+  select id, vec_id, v, c, list_sum(list_transform(range(1, 65), lambda i: (v[i] - m[i]) * (v[i] - m[i])))::bigint as d from r, c{turn})
+  qualify row_number() over (partition by id order by d, c) = 1)""")
+        if turn < 3:
+            steps.append(f"""c{turn + 1} as (select o.c, coalesce(n.m, o.m) as m from c{turn} o left join (
+  select c, list(q order by i) as m from (
+    select c, i, case when s >= 0 then s // n else -((-s + n - 1) // n) end as q from (
+      select c, i, sum(v[i]) as s, count(*) as n from a{turn}, range(1, 65) t(i) group by c, i)) group by c) n on o.c = n.c)""")
+    return "with " + ",\n".join(steps) + """
+select vec_id, c::int as cluster, d as distance, (sum(d) over (partition by c))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia,
+  sha256(array_to_string(m, ',')) as centroid_sha256
+from a3 join c3 using (c)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_importance_resample": IMPORTANCE_SQL,
+    "op12_centroid_clusters": _clusters_sql(),
     "op6_chat_rotation": r"""
 with t as (
   select conv_id, turn, floor(turn / 64)::bigint as chunk,

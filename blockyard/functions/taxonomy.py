@@ -14,20 +14,21 @@ STRUCTURAL = {
     "image": "media", "gallery": "media", "video": "media", "audio": "media", "chart": "media", "map": "media", "canvas": "media", "embed": "media",
     "decoration": "empty", "unclear": "mixed",
 }
-# Slots and the types that declare them.
-SLOTS = {
-    "header": "site_header site_nav search account skip_link site_notice",
-    "footer": "site_footer legal_notice",
-    "nav": "section_nav breadcrumbs table_of_contents pagination tabs version_switcher settings filters",
-    "byline": "byline badge", "author": "author_bio",
-    "notice": "correction disclosure content_warning status_message empty_state progress",
-    "comments": "comments reactions vote_controls user_card", "reviews": "reviews rating",
-    "related": "related external_links", "teasers": "teaser_card", "listing": "product_card buy_box cart checkout",
-    "trending": "trending", "tags": "tag_cloud", "ad": "ad sponsored", "promo": "cross_promo newsletter subscribe app_nag",
-    "paywall": "paywall", "hero": "hero", "features": "feature_grid logo_cloud team", "cta": "cta",
-    "testimonials": "testimonial", "pricing": "pricing_table", "form": "form login_form poll feedback",
-    "contact": "contact_details", "article": "download calendar accordion", "tools": "toolbar page_tools share action_button",
-    "gate": "cookie_banner consent_gate age_gate popup sticky_bar chat_widget",
+# Slot types and the slot they declare.
+SLOT_OF = {
+    "site_header": "header", "site_nav": "header", "search": "header", "account": "header", "skip_link": "header", "site_notice": "header",
+    "site_footer": "footer", "legal_notice": "footer",
+    "section_nav": "nav", "breadcrumbs": "nav", "table_of_contents": "nav", "pagination": "nav", "tabs": "nav", "version_switcher": "nav", "settings": "nav", "filters": "nav",
+    "byline": "byline", "author_bio": "author", "badge": "byline", "correction": "notice", "disclosure": "notice", "content_warning": "notice",
+    "comments": "comments", "reviews": "reviews", "rating": "reviews", "reactions": "comments", "vote_controls": "comments", "user_card": "comments",
+    "related": "related", "teaser_card": "teasers", "product_card": "listing", "trending": "trending", "tag_cloud": "tags", "external_links": "related",
+    "ad": "ad", "sponsored": "ad", "cross_promo": "promo", "newsletter": "promo", "subscribe": "promo", "paywall": "paywall", "app_nag": "promo",
+    "hero": "hero", "feature_grid": "features", "cta": "cta", "testimonial": "testimonials", "logo_cloud": "features", "team": "features", "pricing_table": "pricing",
+    "form": "form", "login_form": "form", "poll": "form", "feedback": "form", "contact_details": "contact", "download": "article", "calendar": "article",
+    "toolbar": "tools", "page_tools": "tools", "share": "tools", "action_button": "tools", "accordion": "article",
+    "cookie_banner": "gate", "consent_gate": "gate", "age_gate": "gate", "popup": "gate", "sticky_bar": "gate", "chat_widget": "gate",
+    "buy_box": "listing", "cart": "listing", "checkout": "listing",
+    "status_message": "notice", "empty_state": "notice", "progress": "notice",
 }
 # Types that open a section.
 OPENING = frozenset(
@@ -36,11 +37,11 @@ OPENING = frozenset(
     "tag_cloud logo_cloud team".split()
 )
 # Slot types that always are one block.
-BLOCKS = {
-    "cards": "teaser_card product_card user_card related trending feature_grid team logo_cloud",
-    "thread": "comments reviews",
-    "links": "site_nav section_nav breadcrumbs table_of_contents tag_cloud external_links",
-}
+FIXED_BLOCK = {
+    "teaser_card": "cards", "product_card": "cards", "user_card": "cards", "related": "cards", "trending": "cards", "feature_grid": "cards", "team": "cards", "logo_cloud": "cards",
+    "comments": "thread", "reviews": "thread",
+    "site_nav": "links", "section_nav": "links", "breadcrumbs": "links", "table_of_contents": "links", "tag_cloud": "links", "external_links": "links",
+}
 # Dispositions other than keep.
 DROP = frozenset("ad sponsored cross_promo newsletter subscribe paywall app_nag cookie_banner consent_gate age_gate popup sticky_bar chat_widget site_notice decoration skip_link".split())
 DEMOTE = frozenset(
@@ -49,8 +50,6 @@ DEMOTE = frozenset(
     "pagination tabs filters".split()
 )
 
-SLOT_OF = {t: slot for slot, names in SLOTS.items() for t in names.split()}
-FIXED_BLOCK = {t: block for block, names in BLOCKS.items() for t in names.split()}
 TYPES = (*STRUCTURAL, *SLOT_OF)
 
 

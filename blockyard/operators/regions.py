@@ -95,18 +95,24 @@ def with_text_features(regions: DataFrame) -> DataFrame:
     )
 
 
-def structural_block() -> Column:
-    """The block that a region's own structure suggests."""
+def has_frame(regions: DataFrame) -> Column | None:
+    """Whether a region holds a frame, where the table says so."""
+    return F.col("frame_host").isNotNull() if "frame_host" in regions.columns else None
+
+
+# Tags, sizes and order of the tests.
+def structural_block(framed: Column | None = None) -> Column:
+    """The block that a region's own structure suggests; ``framed`` tells whether it holds a frame, else only its tag does."""
     tag, length, links = bare_tag(F.col("tag")), F.col("text_length"), F.col("links")
     linky = F.col("link_ratio") >= 0.6
     rich = (F.col("images") >= 1) | (F.col("headings") >= 1)
     return (
-        F.when(tag == "iframe", "media")
+        F.when(F.lit(False) if framed is None else framed, "media")
         .when(tag.rlike("^h[1-6]$"), "heading")
         .when(tag == "pre", "code")
         .when(tag.isin("table", "tbody"), "table")
         .when(tag == "blockquote", "quote")
-        .when(tag.isin("img", "figure", "picture", "video", "audio", "canvas", "svg"), "media")
+        .when(tag.isin("img", "figure", "picture", "video", "audio", "canvas", "svg", "iframe"), "media")
         .when(tag.isin("button", "input", "select", "textarea", "label", "form"), "controls")
         .when(tag.isin("ul", "ol", "dl"), F.when(linky, "links").otherwise("list"))
         .when(length == 0, F.when(F.col("images") > 0, "media").when(F.col("controls") > 0, "controls").otherwise("empty"))
@@ -128,7 +134,7 @@ def derive_axes(regions: DataFrame, kind: str = "type") -> DataFrame:
     types = F.broadcast(types_table(regions.sparkSession).select(F.col("type").alias(kind), "structural", F.col("block").alias("_block"), F.col("slot").alias("_slot"), "opens"))
     known = regions.join(types, kind, "left").withColumns({"structural": F.coalesce("structural", F.lit(False)), "opens": F.coalesce("opens", F.lit(False))})
     chain = F.array_join("landmarks", ">")
-    known = known.withColumn("block", F.coalesce("_block", structural_block())).withColumn("_chain", chain)
+    known = known.withColumn("block", F.coalesce("_block", structural_block(has_frame(regions)))).withColumn("_chain", chain)
     starts = ((F.col("block") == "heading") & F.col("structural")) | ~F.col("_chain").eqNullSafe(F.lag("_chain").over(by_page())) | (F.col("idx") == 0)
     known = known.withColumn("_section", F.sum(starts.cast("int")).over(by_page()))
     whole = Window.partitionBy("page_id", "_section").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -17,6 +17,7 @@ from ..operators import requests as rq
 from ..operators import scoring as sc
 from ..operators import trees
 from ..operators.extract import extract_regions, page_text
+from ..sources import files
 from .flagship import classify_pages, page_blocks
 from .derived import REQUESTS_SQL, label_run, label_run_sql, labelled, labelled_sql, regions, regions_sql, requests
 
@@ -195,6 +196,13 @@ def f12_structural_block(spark, sf_dir):
     return regions(spark, sf_dir).select("page_id", "idx", re_.structural_block().alias("block"))
 
 
+@query(f"select page_id, idx, case when (page_id + idx) % 7 = 3 then 'media' else {BLOCK} end as block from {regions_sql()}")
+def f12_framed_block(spark, sf_dir):
+    """Every seventh region holds a frame."""
+    framed = regions(spark, sf_dir).withColumn("frame_host", F.expr("case when (page_id + idx) % 7 = 3 then 'player.example' end"))
+    return framed.select("page_id", "idx", re_.structural_block(re_.has_frame(framed)).alias("block"))
+
+
 # ---------------------------------------------------------------- label runs
 
 RUN = label_run_sql("one")
@@ -573,6 +581,34 @@ def x5_boosted_trees(spark, sf_dir):
     return trees.predict(rows, model).select("vec_id", "label", "tree_type", "tree_conf")
 
 
+def embedded(spark, sf_dir):
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").alias("features"))
+
+
+@query("""select feature, threshold from (select distinct feature, values_[(b * n // 32 + 1)::bigint] as threshold from (
+select feature, list_sort(list(v)) as values_, count(*) as n from (select embedding[feature + 1]::double + 0.0 as v, feature from embeddings, (select unnest(range(64)) as feature)) group by feature), (select unnest(range(1, 32)) as b))""")
+def x4_bin_thresholds(spark, sf_dir):
+    found = trees.fit_bins(embedded(spark, sf_dir), 64)
+    return spark.createDataFrame([(f, t) for f, own in enumerate(found) for t in own], "feature long, threshold double")
+
+
+@query()
+def x7_out_of_fold(spark, sf_dir):
+    """Calls of every row by the trees of the other folds; three folds, grown in one pass."""
+    return trees.cross_validate(embedded(spark, sf_dir), "label", 64, 3, F.pmod("vec_id", F.lit(3)), trees.Options(rounds=20)).select("vec_id", "label", "tree_type", "tree_conf")
+
+
+@query()
+def s9_model_card(spark, sf_dir):
+    """A final model, saved and read again: its classes, features, options and the scores on rows kept back."""
+    _, final = trees.holdout_fit(embedded(spark, sf_dir), "label", 64, F.pmod("vec_id", F.lit(4)) == 0, trees.Options(rounds=20), names=[f"e{i}" for i in range(64)])
+    path = page_queries.own_folder(spark, "model")
+    files.save_model(spark, final.to_json(), path)
+    again = trees.Model.from_json(files.load_model(spark, path))
+    held = again.holdout
+    return spark.createDataFrame([(again.classes, again.names, again.options["rounds"], len(again.trees), held["n"], held["trees"])], "classes array<string>, features array<string>, rounds int, grown int, held_out long, right long")
+
+
 from . import page_queries, report_queries, stream_queries  # noqa: E402  register further queries
 
 page_queries.register(query)

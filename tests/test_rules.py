@@ -107,3 +107,21 @@ def test_page_gate(spark, few):
     row = page_blocks(df).first()
     assert row["tier"] == ("contained" if few else "relayout") and row["total"] == row["keep"] + row["demote"] + row["drop"]
     assert np.isclose(row["content_share"], row["kept_chars"] / max(row["chars"], 1), atol=1e-3)
+
+
+def test_lines_of_code_are_told_by_their_own_case(spark):
+    """Headings of a list are no code for beginning with a word that code begins with."""
+    inner = "<div>{}</div>"
+    said = ["Class sizes here<br>Return policy here<br>Import duty here", "class Sizes {{<br>return policy;<br>import duty here"]
+    rows = [(i, f"https://a.example/{i}", page(inner.format(t))) for i, t in enumerate(said)]
+    got = {r["page_id"]: r["rule"] for r in classify_pages(spark.createDataFrame(rows, PAGES)).filter("lower(text) like '%policy%'").collect()}
+    assert got[0] != "code-shape" and got[1] == "code-shape"
+
+
+def test_a_frame_is_media_whatever_the_tag(spark):
+    from blockyard.operators.regions import has_frame, structural_block
+
+    rows = spark.createDataFrame([("div", None), ("div", "player.example"), ("h2", "player.example"), ("iframe", None)], "tag string, frame_host string")
+    zero = {c: F.lit(0) for c in ("text_length", "links", "images", "headings", "controls", "repeats", "paragraphs")}
+    rows = rows.withColumns(zero | {"link_ratio": F.lit(0.0)})
+    assert [r[0] for r in rows.select(structural_block(has_frame(rows))).collect()] == ["empty", "media", "media", "media"]

@@ -51,7 +51,8 @@ def op3_weak_label_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    docs = table(spark, sf_dir, "documents")
+    return mix(docs.select("doc_id", "source", F.xxhash64("text").alias("digest"))).drop("digest")
 
 
 def op6_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:

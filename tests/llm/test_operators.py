@@ -273,18 +273,9 @@ def test_em_finds_accuracies():
     assert abs(prior - 0.8) < 0.05 and abs(told[0, 0, 1] - 0.95) < 0.04
 
 
-def test_pfair():
-    shares = pfair_mix.frame_shares({"a": 5.0, "b": 3.0, "c": 1.5, "d": 0.5}, 64)
-    slots = pfair_mix.pfair_frame(shares)
-    assert sorted(t for s in slots.values() for t in s) == list(range(64))
-    for s, at in slots.items():
-        for t in range(65):
-            assert abs(sum(x < t for x in at) - shares[s] / 64 * t) < 1
-
-
 def test_mix(docs, odd, none):
     for df in (docs, odd, none):
-        rows = pfair_mix.mix(df, block_docs=2, frame=64, bucket_docs=10).collect()
+        rows = pfair_mix.mix(df, block_docs=2, bucket_docs=10).collect()
         assert len(rows) == df.count()
         places = [(r["mix_slot"], r["mix_position"]) for r in rows]
         assert len(set(places)) == len(places)
@@ -294,7 +285,7 @@ def test_mix(docs, odd, none):
 
 def test_mix_follows_weights(spark):
     df = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(900)], "doc_id long, source string")
-    rows = pfair_mix.mix(df, {"a": 2.0, "b": 1.0, "c": 1.0}, block_docs=5, frame=16).collect()
+    rows = pfair_mix.mix(df, {"a": 2.0, "b": 1.0, "c": 1.0}, block_docs=5).collect()
     order = sorted({(r["mix_slot"], r["source"]) for r in rows})
     for t in range(1, 113):  # seven whole frames, then the first source ends
         assert abs(sum(s == "a" for _, s in order[:t]) - t / 2) < 1

@@ -107,7 +107,8 @@ def nearest(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for every row whose id is divisible by ``every``.
 
-    Candidates are all other rows; nearness is the Euclidean distance, ties go to the smaller vec_id. Rows without id,
+    Candidates are all other rows; nearness is the Euclidean distance, ties go to the smaller vec_id. Rows of one id with
+    different vectors are queries of their own, each with its own ranks, and candidates of one another. Rows without id,
     null, zero or non-finite vectors and those of an unusual length take no part; a repeated row (same id and vector)
     counts once, and no row is its own query's candidate. Equal vectors share one code and keep their k + 1 smallest
     ids, the most that a query can need. Codebooks are trained on at most ``sample`` vectors, all are indexed. Queries go
@@ -119,7 +120,7 @@ def nearest(
     few = rows.distinct().withColumn("at", F.row_number().over(by)).filter(F.col("at") <= k + 1)
     distinct = store(few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "vectors")
     train = np.array([r["v"] for r in distinct.orderBy(F.xxhash64("v")).limit(sample).select("v").collect()], float)
-    result = "query_id long, vec_id long, score double"
+    result = "query long, query_id long, vec_id long, score double"
     if not len(train):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     book = spark.sparkContext.broadcast(Codebook.fit(train))
@@ -138,10 +139,10 @@ def nearest(
     found = None
     for (block,) in queries.select("block").distinct().orderBy("block").collect():
         own = queries.filter(F.col("block") == block).select("vec_id", "v").collect()
-        asked = spark.sparkContext.broadcast(([r["vec_id"] for r in own], np.array([r["v"] for r in own], float)))
+        asked = spark.sparkContext.broadcast(([r["vec_id"] for r in own], np.array([r["v"] for r in own], float), block << 32))
 
         def search(batches, asked=asked):
-            ids, q = asked.value
+            ids, q, first = asked.value
             best: list[list[tuple[float, int]]] = [[] for _ in ids]
             for whole in batches:
                 for at in range(0, whole.num_rows, 1 << 14):
@@ -157,14 +158,15 @@ def nearest(
                         exact = np.sqrt(((x[near] - q[i]) ** 2).sum(1))
                         top = np.argsort(exact, kind="stable")[: k + 1]
                         last = exact[top[-1]]
-                        new = [(float(exact[j]), v) for j in np.flatnonzero(exact <= last) for v in names[near[j]] if v != ids[i]]
+                        new = [(float(exact[j]), v) for j in np.flatnonzero(exact <= last) for v in names[near[j]] if v != ids[i] or (x[near[j]] != q[i]).any()]
                         best[i] = sorted(best[i] + new)[:k]
-            flat = [(ids[i], v, d) for i, b in enumerate(best) for d, v in b]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in flat], pa.int64()), pa.array([r[1] for r in flat], pa.int64()), pa.array([r[2] for r in flat], pa.float64())], ["query_id", "vec_id", "score"])
+            flat = [(first + i, ids[i], v, d) for i, b in enumerate(best) for d, v in b]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in flat], t) for c, t in enumerate(kinds)], ["query", "query_id", "vec_id", "score"])
 
         part = indexed.mapInArrow(search, result)
         found = part if found is None else found.union(part)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    order = Window.partitionBy("query").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

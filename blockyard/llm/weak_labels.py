@@ -131,10 +131,11 @@ def _train(sample: DataFrame, posterior: dict[int, float], rounds: int) -> np.nd
     def pack(batch, buf, offs, words):
         row, bucket, weight = features(buf, words, batch.num_rows)
         target = np.array([table.value[p] for p in batch.column("pattern").to_pylist()])
-        blobs = (row.astype(np.int32), bucket.astype(np.int32), weight.astype(np.float32), target)
-        return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in blobs], ["row", "bucket", "weight", "target"])
+        copies = batch.column("copies").to_numpy(zero_copy_only=False).astype(float)
+        blobs = (row.astype(np.int32), bucket.astype(np.int32), weight.astype(np.float32), target, copies)
+        return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in blobs], ["row", "bucket", "weight", "target", "copies"])
 
-    rows = store(_scan(sample, pack, "row binary, bucket binary, weight binary, target binary"), "features")
+    rows = store(_scan(sample, pack, "row binary, bucket binary, weight binary, target binary, copies binary"), "features")
     w, moment, speed = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
     for step in range(1, rounds + 1):
         weights = spark.sparkContext.broadcast(w)
@@ -143,12 +144,12 @@ def _train(sample: DataFrame, posterior: dict[int, float], rounds: int) -> np.nd
             w, g, n = weights.value, np.zeros(BUCKETS + 1), 0
             for batch in batches:
                 for r in batch.to_pylist():
-                    row, bucket, weight, target = (np.frombuffer(r[c], k) for c, k in (("row", np.int32), ("bucket", np.int32), ("weight", np.float32), ("target", float)))
+                    row, bucket, weight, target, copies = (np.frombuffer(r[c], k) for c, k in (("row", np.int32), ("bucket", np.int32), ("weight", np.float32), ("target", float), ("copies", float)))
                     out = np.bincount(row, w[bucket] * weight, minlength=len(target)) + w[-1]
-                    off = 1 / (1 + np.exp(-np.clip(out, -50, 50))) - target
+                    off = (1 / (1 + np.exp(-np.clip(out, -50, 50))) - target) * copies
                     g[:-1] += np.bincount(bucket, off[row] * weight, minlength=BUCKETS)
                     g[-1] += off.sum()
-                    n += len(target)
+                    n += int(copies.sum())
             yield pa.RecordBatch.from_arrays([pa.array([g.tobytes()], pa.binary()), pa.array([n], pa.int64())], ["g", "n"])
 
         parts = rows.mapInArrow(gradient, "g binary, n long").collect()
@@ -162,8 +163,8 @@ def _train(sample: DataFrame, posterior: dict[int, float], rounds: int) -> np.nd
 def quality_classifier(docs: DataFrame, sample: int = 20_000, rounds: int = 25, threshold: float = 0.4) -> DataFrame:
     """One row per input row: doc_id, votes (one digit per labeller: 0 silent, 1 good, 2 bad), posterior, score, kept.
 
-    The scorer is fitted on about ``sample`` rows, those of small hash, whose labels are posteriors; counts of patterns
-    cover all rows, and all are scored. Null text is empty. Null and repeated ids, repeated rows and ties are rows like
+    The scorer is fitted on about ``sample`` different rows at most, those of small hash, whose labels are posteriors; a
+    repeated row is one of them and weighs as much as its copies. Counts of patterns cover all rows, and all are scored. Null text is empty. Null and repeated ids, repeated rows and ties are rows like
     others; other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -182,7 +183,12 @@ def quality_classifier(docs: DataFrame, sample: int = 20_000, rounds: int = 25,
     posterior = dict(zip(codes.tolist(), good.tolist()))
     share = min(1.0, sample / float(counts.n.sum()))
     chosen = texts.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1))
-    w = spark.sparkContext.broadcast(_train(_scan(chosen.repartition(8), vote, "doc_id long, text string, pattern long"), posterior, rounds))
+
+    def vote_once(batch, buf, offs, words):
+        return pa.RecordBatch.from_arrays([batch.column("text"), batch.column("copies"), pa.array(votes(buf, offs, words) @ powers)], ["text", "copies", "pattern"])
+
+    distinct = chosen.groupBy("doc_id", "text").agg(F.count("*").alias("copies")).repartition(8)
+    w = spark.sparkContext.broadcast(_train(_scan(distinct.select("text", "copies"), vote_once, "text string, copies long, pattern long"), posterior, rounds))
     table = spark.sparkContext.broadcast(posterior)
 
     def score(batch, buf, offs, words):

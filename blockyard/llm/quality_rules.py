@@ -2,9 +2,10 @@
 
 The language model is a modified Kneser-Ney model over byte n-grams. Spark counts the n-grams of every text, the
 continuation counts of the lower orders and the mass each context gives away, and joins them order by order to the
-probability of every n-gram. None is dropped: the model lies in parts in the shared folder, which must be one that
-pyarrow reads from every executor (a file system, HDFS or an object store), and each group of texts reads the parts one
-after the other. Each language's bands are its median bits per byte plus ``width`` times the
+probability of every n-gram. None is dropped. The most frequent n-grams, of bounded number, lie as sorted arrays in the
+shared folder, which must be one that pyarrow reads from every executor (a file system, HDFS or an object store), and each
+task looks most of its texts up in them; what is left, the rare n-grams of each text, meets the rest of the model in one
+join, so the model is read once whatever the number of texts. Each language's bands are its median bits per byte plus ``width`` times the
 distance of its lower and upper quartile from it, over all texts that pass the counting rules. A text of n characters
 is off by its distance times sqrt(n / (n + ``steady``)), for short texts stray further by chance.
 """
@@ -26,7 +27,6 @@ ORDER = 5
 BOS, EOS = 2, 3
 MIN_WORDS, MAX_REPEAT = 20, 30
 MOST_COUNT = 1 << 12
-SPREAD = 1_000_003
 NO_BYTES = int.from_bytes(bytes([BOS] * (ORDER - 1) + [EOS]), "big")
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -142,8 +142,8 @@ class Model:
         return out
 
 
-def _discounts(counts: DataFrame) -> tuple[list[str], list[tuple], int]:
-    """The languages, (lang, order, code of lang, three discounts) of each level, and how many n-grams the highest order has."""
+def _discounts(counts: DataFrame) -> tuple[list[str], list[tuple]]:
+    """The languages, and (lang, order, code of lang, three discounts) of each level."""
     seen = counts.groupBy("lang", "order", F.least("c", F.lit(MOST_COUNT)).alias("c")).agg(F.count("*").alias("n")).toPandas()
     langs = sorted(seen.lang.unique())
     code, levels = {x: i for i, x in enumerate(langs)}, []
@@ -156,33 +156,33 @@ def _discounts(counts: DataFrame) -> tuple[list[str], list[tuple], int]:
         else:
             d = [0.5, 0.75, 0.9]
         levels.append((lang, int(order), code[lang], *d))
-    return langs, levels, int(seen[seen.order == ORDER].n.sum())
+    return langs, levels
 
 
-def _levels(docs: DataFrame) -> tuple[list[str], DataFrame, DataFrame, int]:
-    """The languages, all n-grams (code, order, key, p), all contexts (code, order, key, gamma), and the number of highest order.
+def _levels(docs: DataFrame) -> tuple[list[str], DataFrame, DataFrame]:
+    """The languages, all n-grams (code, order, key, c, p), and all contexts (code, order, key, gamma).
 
     The suffix of an n-gram that was seen was seen, and so was its context: the probabilities of an order come from those
     of the order below by a join, in which no key has more than 256 rows.
     """
     counts = _counts(docs)
-    langs, levels, top = _discounts(counts)
+    langs, levels = _discounts(counts)
     table = F.broadcast(docs.sparkSession.createDataFrame(levels, "lang string, order int, code long, d1 double, d2 double, d3 double"))
     off = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
     full = counts.join(table, ["lang", "order"]).select("code", "order", "key", "c", off.alias("off"), F.shiftright("key", 8).alias("context"))
     contexts = full.groupBy("code", "order", "context").agg(F.sum("c").alias("total"), F.sum("off").alias("gone"))
     contexts = contexts.select("code", "order", "context", "total", (F.col("gone") / F.col("total")).alias("gamma"))
     alone = ((F.col("c") - F.col("off")) / F.col("total")).alias("alone")
-    shares = store(full.join(contexts, ["code", "order", "context"]).select("code", "order", "key", alone, "gamma"), "shares")
+    shares = store(full.join(contexts, ["code", "order", "context"]).select("code", "order", "key", "c", alone, "gamma"), "shares")
     out, lower = None, None
     for k in range(1, ORDER + 1):
         own = shares.filter(F.col("order") == k).withColumn("suffix", F.col("key").bitwiseAND(F.lit((1 << (8 * (k - 1))) - 1)))
         own = own.withColumn("below", F.lit(1 / 256)) if lower is None else own.join(lower, ["code", "suffix"])
-        own = own.select("code", "order", "key", (F.col("alone") + F.col("gamma") * F.col("below")).alias("p"))
+        own = own.select("code", "order", "key", "c", (F.col("alone") + F.col("gamma") * F.col("below")).alias("p"))
         own = store(own, f"level{k}")
         lower = own.select("code", F.col("key").alias("suffix"), F.col("p").alias("below"))
         out = own if out is None else out.unionByName(own)
-    return langs, out, contexts.select("code", "order", F.col("context").alias("key"), "gamma"), top
+    return langs, out, contexts.select("code", "order", F.col("context").alias("key"), "gamma")
 
 
 def _collected(langs: list[str], grams: DataFrame, contexts: DataFrame) -> Model:
@@ -196,108 +196,102 @@ def _collected(langs: list[str], grams: DataFrame, contexts: DataFrame) -> Model
     return Model(langs, *arrays(grams, "p"), *arrays(contexts, "gamma"))
 
 
-def fit(docs: DataFrame) -> Model:
-    """The model of all texts in this process's memory, which also scores texts it was not made from."""
-    return _collected(*_levels(docs)[:3])
-
-
-def _shelf(key, parts: int):
-    """The part of the model in which a packed n-gram lies; numbers and columns alike."""
-    return (key % SPREAD) % parts
-
-
-class Shelves:
-    """The model's n-grams of highest order, in ``parts`` folders of the shared folder, with the bits each costs.
+class Lookup:
+    """The bits of the n-grams of highest order: the most frequent ones as sorted arrays, all others as a table.
 
     Every n-gram of a scored text was counted, so its stored probability is all that is looked up.
     """
 
-    def __init__(self, docs: DataFrame, part_ngrams: int):
-        langs, grams, contexts, top = _levels(docs)
+    def __init__(self, docs: DataFrame, frequent: int):
+        langs, grams, contexts = _levels(docs)
         # The n-gram of a text without bytes may be unseen: what it backs off to is a few rows a language.
         empty = [NO_BYTES & ((1 << (8 * k)) - 1) for k in range(1, ORDER + 1)]
         few = _collected(langs, grams.filter(F.col("key").isin(empty)), contexts.filter(F.col("key").isin([x >> 8 for x in empty])))
         told = -np.log2(few.prob(np.arange(len(langs) + 1), np.full(len(langs) + 1, NO_BYTES)))
         self.empty = dict(zip(langs, told.tolist()))
-        self.langs, self.parts = {x: i for i, x in enumerate(langs)}, max(1, -(-top // part_ngrams))
-        if self.parts >= SPREAD:
-            raise ValueError(f"part_ngrams of {part_ngrams} is too small for {top} n-grams")
+        self.langs = {x: i for i, x in enumerate(langs)}
         packed = F.shiftleft("code", 8 * ORDER) + F.col("key")
-        rows = grams.filter(F.col("order") == ORDER).select(packed.alias("key"), (-F.log2("p")).cast("float").alias("bits"))
-        rows = rows.withColumn("shelf", _shelf(F.col("key"), self.parts))
-        self.path = f"{shared_folder(docs.sparkSession)}/shelves-{uuid.uuid4().hex}"
-        rows.repartition("shelf").sortWithinPartitions("shelf", "key").write.partitionBy("shelf").parquet(self.path)
-
-    def bits(self, keys: np.ndarray) -> np.ndarray:
-        """The bits of sorted distinct packed n-grams; one part at a time is in memory."""
-        from pyarrow import fs, parquet
-
-        files, root = fs.FileSystem.from_uri(self.path)
-        shelf, out, found = _shelf(keys, self.parts), np.zeros(len(keys), np.float32), 0
-        for part in np.unique(shelf).tolist():
-            at = np.flatnonzero(shelf == part)
-            held = parquet.read_table(f"{root}/shelf={part}", columns=["key", "bits"], filesystem=files, partitioning=None, use_threads=False)
-            own = held.column("key").to_numpy()
-            to = np.minimum(np.searchsorted(keys[at], own), len(at) - 1)
-            same = keys[at][to] == own
-            out[at[to[same]]] = held.column("bits").to_numpy()[same]
-            found += int(same.sum())
-        if found != len(keys):
-            raise RuntimeError("the texts changed between two scans: read them from stored files")
-        return out
+        # Counts by eighths of powers of two, from the top down as long as they fit.
+        rows = grams.filter(F.col("order") == ORDER).select(packed.alias("key"), (-F.log2("p")).cast("float").alias("bits"), F.floor(8 * F.log2("c")).cast("int").alias("level"))
+        levels = sorted(rows.groupBy("level").count().collect(), reverse=True)
+        held, least = 0, 1 << 30
+        for level, n in levels:
+            if held + n > frequent:
+                break
+            held, least = held + n, level
+        self.rest = rows.filter(F.col("level") < least).select("key", "bits") if held < sum(r[1] for r in levels) else None
+        self.path = f"{shared_folder(docs.sparkSession)}/frequent-{uuid.uuid4().hex}"
+        rows.filter(F.col("level") >= least).select("key", "bits").write.parquet(self.path)
+
+
+def _arrays(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent n-grams in order, and their bits; read by each task."""
+    from pyarrow import fs, parquet
+
+    files, root = fs.FileSystem.from_uri(path)
+    held = parquet.read_table(root, columns=["key", "bits"], filesystem=files, use_threads=False)
+    key = held.column("key").to_numpy()
+    by = np.argsort(key)
+    return key[by], held.column("bits").to_numpy()[by]
+
+
+def _scored(docs: DataFrame, frequent: int) -> DataFrame:
+    """doc_id, digest, lang, the five counts and the bits per byte of each row."""
+    lookup = Lookup(docs, frequent)
+    path, langs, empty = lookup.path, lookup.langs, lookup.empty
+
+    def score(batches):
+        keys, bits = _arrays(path)
+        for batch in tn.slices(batches, 1 << 22):
+            buf, offs = tn.utf8(batch.column("text"))
+            counts = base_counts(buf, offs, batch.num_rows)
+            key, row = ngrams(buf, offs)
+            # A text without bytes is not counted.
+            lang = np.array([langs.get(x, 0) for x in batch.column("lang").to_pylist()], np.int64)
+            full = np.diff(offs)[row] > 0
+            codes, own = pd.factorize((key | (lang[row] << (8 * ORDER)))[full])
+            row = row[full]
+            at, found = Model.find(keys, own)
+            known = np.where(found, bits[at], 0) if len(bits) else np.zeros(len(own))
+            told = np.bincount(row, known[codes], minlength=batch.num_rows).astype(float)
+            for i in np.flatnonzero(np.diff(offs) == 0).tolist():
+                told[i] = empty.get(batch.column("lang")[i].as_py(), 8.0)
+            rare = ~found[codes]
+            ends = np.cumsum(np.bincount(row[rare], minlength=batch.num_rows))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(own[codes[rare]]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("digest"), batch.column("lang"), *(pa.array(counts[c]) for c in LONGS), pa.array(np.diff(offs) + 1), pa.array(told), lists],
+                ["doc_id", "digest", "lang", *LONGS, "size", "told", "rare"],
+            )
 
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("digest"), F.coalesce("lang", F.lit("")).alias("lang"))
+    kind = ", ".join(f"{c} long" for c in LONGS)
+    scored = rows.mapInArrow(score, f"doc_id long, digest long, lang string, {kind}, size long, told double, rare array<long>")
+    scored = store(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    if lookup.rest is None:
+        held = F.when(F.size("rare") > 0, F.raise_error(F.lit(CHANGED)).cast("double")).otherwise(F.lit(0.0))
+        scored = scored.withColumn("more", held)
+    else:
+        asked = scored.filter(F.size("rare") > 0).select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count("*").alias("n"))
+        bits = F.coalesce("bits", F.raise_error(F.lit(CHANGED)).cast("float"))
+        more = asked.join(lookup.rest, "key", "left").groupBy("row").agg(F.sum(F.col("n") * bits).alias("more"))
+        scored = scored.join(more, "row", "left").withColumn("more", F.coalesce("more", F.lit(0.0)))
+    bits = F.when(F.col("size") > 1, (F.col("told") + F.col("more")) / F.col("size")).otherwise(F.col("told"))
+    return store(scored.select("doc_id", "digest", "lang", *LONGS, bits.alias("bits")), "bits")
 
-def _groups(batches, most: int):
-    """Lists of slices with about ``most`` bytes of text together, so that each reads the model once."""
-    held, size = [], 0
-    for batch in tn.slices(batches, 1 << 20):
-        held.append(batch)
-        size += batch.column("text").nbytes
-        if size >= most:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
 
+CHANGED = "the texts changed between two scans: read them from stored files"
 
-def quality_rules(docs: DataFrame, width: float = 5.0, steady: int = 3000, least_texts: int = 30, part_ngrams: int = 1 << 18, group_bytes: int = 1 << 23) -> DataFrame:
+
+def quality_rules(docs: DataFrame, width: float = 5.0, steady: int = 3000, least_texts: int = 30, frequent: int = 1 << 21) -> DataFrame:
     """One row per input row: doc_id, digest (xxhash64 of the text), lang, the five counts, bits (per byte), base_failed, middle, low, high, kept.
 
     Null text counts as empty and fails the base rules; null lang is a language of its own. A language with fewer
     than ``least_texts`` texts that pass the base rules has no band. Other columns are ignored; repeated rows each get
-    a row and count in the model. ``docs`` is scanned twice and must not change. Parts of the model have about
-    ``part_ngrams`` n-grams; texts of ``group_bytes`` together look up theirs in one reading of the parts.
+    a row and count in the model. ``docs`` is scanned twice and must not change. At most ``frequent`` n-grams, 12 bytes
+    each, are held by a task; they change no result.
     """
-    shelves = Shelves(docs, part_ngrams)
-
-    def score(batches):
-        for group in _groups(batches, group_bytes):
-            held = []
-            for batch in group:
-                buf, offs = tn.utf8(batch.column("text"))
-                key, row = ngrams(buf, offs)
-                # A text without bytes is not counted.
-                lang = np.array([shelves.langs.get(x, 0) for x in batch.column("lang").to_pylist()], np.int64)
-                full = np.diff(offs)[row] > 0
-                codes, own = pd.factorize((key | (lang[row] << (8 * ORDER)))[full])
-                held.append((codes.astype(np.int32), own, row[full].astype(np.int32)))
-                del key, row, full, codes, own
-            keys = np.unique(np.concatenate([own for _, own, _ in held]))
-            bits = shelves.bits(keys)
-            for batch, (codes, own, row) in zip(group, held):
-                buf, offs = tn.utf8(batch.column("text"))
-                counts = base_counts(buf, offs, batch.num_rows)
-                told = np.bincount(row, bits[np.searchsorted(keys, own)][codes], minlength=batch.num_rows) / (np.diff(offs) + 1)
-                for i in np.flatnonzero(np.diff(offs) == 0).tolist():
-                    told[i] = shelves.empty.get(batch.column("lang")[i].as_py(), 8.0)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("digest"), batch.column("lang"), *(pa.array(counts[c]) for c in LONGS), pa.array(told)],
-                    ["doc_id", "digest", "lang", *LONGS, "bits"],
-                )
-
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("digest"), F.coalesce("lang", F.lit("")).alias("lang"))
-    kind = ", ".join(f"{c} long" for c in LONGS)
-    scored = store(rows.mapInArrow(score, f"doc_id long, digest long, lang string, {kind}, bits double"), "scored")
+    scored = _scored(docs, frequent)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed)
     usable = scored.filter(~F.col("base_failed"))

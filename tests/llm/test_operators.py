@@ -223,7 +223,7 @@ def test_kneser_ney(spark):
         b = bytes([2] * 4) + t.encode() + b"\x03"
         want = -sum(math.log2(prob(b[j - 4 : j + 1])) for j in range(4, len(b))) / (len(t) + 1)
         assert abs(got[i] - want) < 1e-4
-    model = quality_rules.fit(df)
+    model = quality_rules._collected(*quality_rules._levels(df))
     for context in (b"the ", b"qqqq", b"on t"):
         keys = np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)])
         assert abs(model.prob(np.zeros(256, np.int64), keys).sum() - 1) < 1e-4

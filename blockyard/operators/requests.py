@@ -1,7 +1,7 @@
 """Request decisions: rule sets, filter lists, allowlists, and what follows from them.
 
-Rule sets are few and are broadcast after their size is checked. Filter lists may be long: filters anchored at a domain
-meet requests by host suffix, all others by a token that both must hold, so no request meets every filter.
+Rule sets and filter lists may be long: filters anchored at a domain meet requests by host suffix, all other patterns by
+the key of their literal text that fewest requests have (``pattern_index``), so no request meets every pattern.
 """
 
 from __future__ import annotations
@@ -12,22 +12,13 @@ from pyspark.sql import functions as F
 from ..functions.globs import fill_template, glob_to_regex
 from ..functions.urls import host, host_suffixes
 from ..sources.shared import materialise
-
-MOST_PATTERNS = 100_000
-
-
-def _small(df: DataFrame, most: int = MOST_PATTERNS) -> DataFrame:
-    """Broadcast a table of patterns that is proven small."""
-    if df.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} patterns: split the rule sets by host first")
-    return F.broadcast(df)
+from .pattern_index import EDGE, GAP, folded, glob_shape, matching_pairs
 
 
 def match_rule_sets(pages: DataFrame, rule_match: DataFrame) -> DataFrame:
     """(page_url, set_pos, name) of enabled rule sets with a pattern that covers the page URL."""
-    rules = _small(rule_match.filter("enabled").select("set_pos", "name", glob_to_regex(F.col("pattern")).alias("regex")))
-    urls = pages.select("page_url").distinct()
-    return urls.join(rules, F.expr("page_url rlike regex")).select("page_url", "set_pos", "name").distinct()
+    rules = rule_match.filter("enabled").select("set_pos", "name", glob_to_regex(F.col("pattern")).alias("regex"), glob_shape(F.col("pattern")).alias("shape"))
+    return matching_pairs(pages.select("page_url").distinct(), rules, "page_url").select("page_url", "set_pos", "name").distinct()
 
 
 def decide_requests(requests: DataFrame, rule_match: DataFrame, rule_redirect: DataFrame, rule_block: DataFrame, filters: DataFrame | None = None, allowlist: DataFrame | None = None) -> DataFrame:
@@ -39,13 +30,16 @@ def decide_requests(requests: DataFrame, rule_match: DataFrame, rule_redirect: D
     asked = requests.withColumn("page_url", F.coalesce("page_url", "url"))
     asked, every = _pairs(asked), asked
     sets = match_rule_sets(asked, rule_match)
-    met = asked.select("request_id", "url", "page_url").join(sets, "page_url")
-    redirect = _small(rule_redirect.select("set_pos", "pos", glob_to_regex(F.col("from")).alias("regex"), F.col("to")))
-    block = _small(rule_block.select("set_pos", "pos", glob_to_regex(F.col("pattern")).alias("regex")))
-    to = met.join(redirect, "set_pos").filter(F.expr("url rlike regex")).withColumn("target", fill_template(F.col("to"), F.col("url"), F.col("regex")))
-    to = to.filter((F.col("target") != "") & (F.col("target") != F.col("url"))).select("request_id", "name", F.struct("set_pos", F.lit(0).alias("kind"), "pos").alias("order"), F.lit("redirect").alias("decision"), "target")
-    cut = met.join(block, "set_pos").filter(F.expr("url rlike regex")).select("request_id", "name", F.struct("set_pos", F.lit(1).alias("kind"), "pos").alias("order"), F.lit("block").alias("decision"), F.lit(None).cast("string").alias("target"))
-    first = to.unionByName(cut).groupBy("request_id").agg(F.min_by(F.struct("decision", "target", "name"), "order").alias("hit"))
+    met = asked.select("request_id", "page_url").join(sets, "page_url")
+    redirect = rule_redirect.select("set_pos", F.lit(0).alias("kind"), "pos", F.col("from").alias("glob"), "to")
+    block = rule_block.select("set_pos", F.lit(1).alias("kind"), "pos", F.col("pattern").alias("glob"), F.lit(None).cast("string").alias("to"))
+    rules = redirect.unionByName(block).withColumns({"regex": glob_to_regex(F.col("glob")), "shape": glob_shape(F.col("glob"))}).drop("glob")
+    hits = matching_pairs(asked.select("request_id", "url"), rules, "url").join(met, ["request_id", "set_pos"])
+    target = F.when(F.col("kind") == 0, fill_template(F.col("to"), F.col("url"), F.col("regex")))
+    hits = hits.withColumn("target", target).filter((F.col("kind") == 1) | ((F.col("target") != "") & (F.col("target") != F.col("url"))))
+    decision = F.when(F.col("kind") == 0, "redirect").otherwise("block")
+    first = hits.select("request_id", "name", "target", decision.alias("decision"), F.struct("set_pos", "kind", "pos").alias("order"))
+    first = first.groupBy("request_id").agg(F.min_by(F.struct("decision", "target", "name"), "order").alias("hit"))
     out = asked.join(first, "request_id", "left")
     if filters is not None:
         blocked = match_filters(asked, filters).filter("blocked")
@@ -95,30 +89,29 @@ def parse_filters(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     regex = F.regexp_replace(F.regexp_replace("pattern", r"^\|\|", ""), r"([.+?${}()\[\]\\])", r"\\$1")
     tail = F.regexp_replace(F.regexp_replace(F.regexp_replace(regex, r"\*", ".*"), r"\^", r"(?:[^A-Za-z0-9_.%-]|\\z)"), r"\|$", r"\\z")
     anchored = F.when(domain != "", F.concat(F.lit(r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#]*\.)?"), tail)).when(F.col("pattern").startswith("|"), F.concat(F.lit("(?i)^"), F.regexp_replace(tail, r"^\|", ""))).otherwise(F.concat(F.lit("(?i)"), tail))
-    tokens = F.regexp_extract_all(F.lower(F.regexp_replace("pattern", r"\*", " * ")), F.lit(r"(?<![a-z0-9%*])[a-z0-9%]{3,}(?![a-z0-9%])"), F.lit(0))
+    # A separator is one character that no word has, or the end; an open start or end may go on with anything.
+    open_start = F.when(F.col("pattern").startswith("|"), F.regexp_replace("pattern", r"^\|", "")).otherwise(F.concat(F.lit(GAP), F.col("pattern")))
+    open_end = F.when(open_start.endswith("|"), F.regexp_replace(open_start, r"\|$", "")).otherwise(F.concat(open_start, F.lit(GAP)))
+    shape = F.regexp_replace(F.regexp_replace(folded(open_end), r"\*", GAP), r"\^", EDGE)
     types = F.filter("options", lambda o: o.isin("script", "image"))
     pages = F.flatten(F.transform(F.filter("options", lambda o: o.startswith("domain=")), lambda o: F.split(F.substring_index(o, "=", -1), r"\|")))
-    filters = net.filter(known).select("pos", "custom", "exception", "pattern", F.when(domain != "", domain).alias("domain"), anchored.alias("regex"), tokens.alias("tokens"), types.alias("types"), F.array_contains("options", "third-party").alias("third_party"), pages.alias("pages"))
+    filters = net.filter(known).select("pos", "custom", "exception", "pattern", F.when(domain != "", domain).alias("domain"), anchored.alias("regex"), shape.alias("shape"), types.alias("types"), F.array_contains("options", "third-party").alias("third_party"), pages.alias("pages"))
     return filters, net.filter(~known).select("pos", "custom", "line")
 
 
 def match_filters(requests: DataFrame, filters: DataFrame) -> DataFrame:
     """(request_id, blocked, pos): the deciding filter of each request that any filter matches; exceptions win within custom or listed filters, custom ones come first.
 
-    Top documents are never matched. Tokens are complete words of the URL; a filter waits under its rarest token of those
-    that are whole in the pattern, and filters without one are few and broadcast.
+    Top documents are never matched. A filter of a domain waits under it, any other under the rarest key of its literal
+    text among all requests; the regular expression has the last word.
     """
     asked = requests.filter("type != 'document'").select("request_id", "url", "type", F.regexp_replace(host(F.col("url")), r":\d+$", "").alias("host"), F.regexp_replace(host(F.col("page_url")), r":\d+$", "").alias("page_host"))
     columns = ["pos", "custom", "exception", "regex", "types", "third_party", "pages"]
     by_domain = filters.filter("domain is not null").withColumn("key", F.col("domain"))
-    loose = filters.filter("domain is null")
-    by_host = asked.withColumn("key", F.explode(host_suffixes(F.col("host")))).join(by_domain.select("key", *columns), "key").drop("key")
-    inner = F.slice("tokens", 2, F.greatest(F.size("tokens") - 2, F.lit(0)))
-    keyed = loose.withColumn("key", F.get(F.array_sort(F.transform(inner, lambda t: F.struct((-F.length(t)).alias("l"), t.alias("t")))), F.lit(0))["t"])
-    words = F.array_distinct(F.regexp_extract_all(F.lower("url"), F.lit(r"[a-z0-9%]{3,}"), F.lit(0)))
-    by_token = asked.withColumn("key", F.explode(words)).join(keyed.filter("key is not null").select("key", *columns), "key").drop("key")
-    rest = asked.join(_small(keyed.filter("key is null").select(*columns), 2000), F.expr("url rlike regex"))
-    met = by_host.unionByName(by_token).unionByName(rest).filter(F.expr("url rlike regex"))
+    by_host = asked.withColumn("key", F.explode(host_suffixes(F.col("host")))).join(by_domain.select("key", *columns), "key").drop("key").filter(F.expr("url rlike regex"))
+    loose = filters.filter("domain is null").select("shape", *columns).withColumnRenamed("types", "kinds").withColumnRenamed("pages", "on_pages")
+    by_key = matching_pairs(asked, loose, "url").withColumnRenamed("kinds", "types").withColumnRenamed("on_pages", "pages")
+    met = by_host.unionByName(by_key)
     kind = (F.size("types") == 0) | F.array_contains("types", F.col("type"))
     far = ~F.col("third_party") | ~(F.col("host").eqNullSafe(F.col("page_host")) | F.expr("host like concat('%.', page_host)") | F.expr("page_host like concat('%.', host)"))
     here = (F.size("pages") == 0) | F.arrays_overlap("pages", host_suffixes(F.col("page_host")))
@@ -156,12 +149,33 @@ def cosmetic_selectors(pages: DataFrame, cosmetics: DataFrame, allowlist: DataFr
     return once.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "selector"))), lambda x: x["selector"]).alias("selectors"))
 
 
-def rule_payload(pages: DataFrame, rule_match: DataFrame, rule_css: DataFrame) -> DataFrame:
-    """(page_url, sets, css): the matching sets of a page in file order and their css."""
-    met = match_rule_sets(pages, rule_match).join(_small(rule_css.select("set_pos", "css")), "set_pos", "left")
-    held = F.array_sort(F.collect_list(F.struct("set_pos", "name", F.coalesce("css", F.lit("")).alias("css"))))
-    out = met.groupBy("page_url").agg(held.alias("h"))
-    return out.select("page_url", F.array_join(F.transform("h", lambda x: x["name"]), ",").alias("sets"), F.array_join(F.filter(F.transform("h", lambda x: x["css"]), lambda c: c != ""), "\n").alias("css"))
+HIDDEN = "display: none !important;"
+
+
+def rule_payload(pages: DataFrame, rule_match: DataFrame, rule_css: DataFrame, cosmetics: DataFrame | None = None, allowlist: DataFrame | None = None) -> DataFrame:
+    """(page_url, sets, css, payload): what a page gets at its start; pages without any have no row.
+
+    payload is an array of (name, css, js, main_js, options) of the matching sets in file order, before them one named
+    ``adblock`` with the element-hiding selectors of the filter lists, unless the page is on ``allowlist``; sets and css
+    tell its names and its css joined. ``rule_css`` has set_pos and css, and may have js, main_js and options (a map).
+    """
+    has = lambda c, other: F.coalesce(F.col(c), other) if c in rule_css.columns else other
+    none = F.lit("")
+    parts = rule_css.select("set_pos", has("css", none).alias("css"), has("js", none).alias("js"), has("main_js", none).alias("main_js"), has("options", F.create_map().cast("map<string,string>")).alias("options"))
+    met = match_rule_sets(pages, rule_match).join(parts, "set_pos", "left")
+    told = lambda pos, name, css, js, main, options: F.struct(pos.cast("int").alias("pos"), name.alias("name"), css.alias("css"), js.alias("js"), main.alias("main_js"), options.alias("options"))
+    empty = F.create_map().cast("map<string,string>")
+    rows = met.select("page_url", told(F.col("set_pos"), F.col("name"), F.coalesce("css", none), F.coalesce("js", none), F.coalesce("main_js", none), F.coalesce("options", empty)).alias("p"))
+    if cosmetics is not None:
+        urls = pages.select(F.col("page_url").alias("page_id"), F.col("page_url").alias("url")).distinct()
+        hiding = cosmetic_selectors(urls, cosmetics, allowlist).filter(F.size("selectors") > 0)
+        style = F.concat(F.array_join("selectors", ",\n"), F.lit(f" {{ {HIDDEN} }}"))
+        rows = rows.unionByName(hiding.select(F.col("page_id").alias("page_url"), told(F.lit(-1), F.lit("adblock"), style, none, none, empty).alias("p")))
+    # Maps have no order, so places are sorted, and each part found again under its place; the sets of a page are few.
+    held = rows.groupBy("page_url").agg(F.map_from_entries(F.collect_list(F.struct("p.pos", "p"))).alias("by"))
+    parts_of = F.transform(F.array_sort(F.map_keys("by")), lambda k: F.element_at("by", k))
+    out = held.select("page_url", F.transform(parts_of, lambda x: x.dropFields("pos")).alias("payload"))
+    return out.select("page_url", F.array_join(F.transform("payload", lambda x: x["name"]), ",").alias("sets"), F.array_join(F.filter(F.transform("payload", lambda x: x["css"]), lambda c: c != ""), "\n").alias("css"), "payload")
 
 
 def filter_hits(decisions: DataFrame) -> DataFrame:

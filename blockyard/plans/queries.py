@@ -519,7 +519,7 @@ def j8_cosmetic_selectors(spark, sf_dir):
 @query(f"""with p as (select distinct page_url from {REQUESTS_SQL}) select page_url, case when page_url like '%/news/%' then 'news,all' else 'shop,all' end as sets, case when page_url like '%/news/%' then '.a{{}}' || chr(10) || '.c{{}}' else '.c{{}}' end as css from p""")
 def j9_rule_payload(spark, sf_dir):
     css = spark.createDataFrame([(0, ".a{}"), (3, ".c{}")], "set_pos int, css string")
-    return rq.rule_payload(requests(spark, sf_dir), rule_tables(spark)[0], css)
+    return rq.rule_payload(requests(spark, sf_dir), rule_tables(spark)[0], css).drop("payload")
 
 
 @query(f"""with h as (select *, row_number() over (partition by tab_id order by ts desc, request_id desc) as k from {REQUESTS_SQL}) select tab_id, request_id, (row_number() over (partition by tab_id order by ts desc, request_id desc))::int as place from h where k <= 400 and regexp_matches(url, 'banner') qualify place <= 20""")

@@ -85,15 +85,15 @@ def _counts(docs: DataFrame) -> DataFrame:
             return key, np.add.reduceat(c[order], first)
 
         held: dict[str, list] = {}
-        for batch in tn.slices(batches, 1 << 22):
+        for batch in tn.slices(batches, 1 << 21):
             buf, offs = tn.utf8(batch.column("text"))
             key, row = ngrams(buf, offs)
             codes, names = pd.factorize(np.array(batch.column("lang").to_pylist(), object))
             for i, lang in enumerate(names):
                 held.setdefault(lang, []).append(np.unique(key[(codes == i)[row]], return_counts=True))
-                if sum(len(p[0]) for p in held[lang]) > 1 << 21:
+                if sum(len(p[0]) for p in held[lang]) > 1 << 20:
                     held[lang] = [rows(lang, held[lang])]
-                    if len(held[lang][0][0]) > 1 << 20:
+                    if len(held[lang][0][0]) > 1 << 19:
                         yield emit(lang, *held.pop(lang)[0])
         for lang, parts in held.items():
             yield emit(lang, *rows(lang, parts))
@@ -242,7 +242,7 @@ def _scored(docs: DataFrame, frequent: int) -> DataFrame:
 
     def score(batches):
         keys, bits = _arrays(path)
-        for batch in tn.slices(batches, 1 << 22):
+        for batch in tn.slices(batches, 1 << 21):
             buf, offs = tn.utf8(batch.column("text"))
             counts = base_counts(buf, offs, batch.num_rows)
             key, row = ngrams(buf, offs)

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.taxonomy import types_table
 from ..functions.text import bare_tag, signature, text_stats
+from .joins import join_counted
+
 
 def by_page():
     return Window.partitionBy("page_id").orderBy("idx")
@@ -36,15 +38,34 @@ def site_index(regions: DataFrame) -> DataFrame:
     return once.groupBy("site", "signature").agg(F.count("*").alias("repeat_pages"))
 
 
-def with_repetition(regions: DataFrame, index: DataFrame | None = None) -> DataFrame:
+def site_sketches(regions: DataFrame, log_size: int = 12) -> DataFrame:
+    """(site, signature, pages): a sketch of the distinct pages of a site that hold a signature; sketches of days add up."""
+    held = with_signature(regions).filter("signature is not null")
+    return held.groupBy("site", "signature").agg(F.hll_sketch_agg(F.col("page_id").cast("string"), log_size).alias("pages"))
+
+
+def merge_sketches(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Sketches of both tables' pages; pages that both have count once. The pages themselves are not read again."""
+    return old.unionByName(new).groupBy("site", "signature").agg(F.hll_union_agg("pages").alias("pages"))
+
+
+def sketched_index(sketches: DataFrame) -> DataFrame:
+    """(site, signature, repeat_pages) as ``site_index``, estimated: within about 3 % of large numbers at size 12, small ones are exact."""
+    return sketches.select("site", "signature", F.hll_sketch_estimate("pages").alias("repeat_pages"))
+
+
+def with_repetition(regions: DataFrame, index: DataFrame | None = None, per_task: int = 200_000) -> DataFrame:
     """Adds site_pages, repeat_pages, repeated and repeat_frac.
 
-    Only signatures on two pages or more travel to the join; the rest are on one page by definition.
+    Only signatures on two pages or more travel to the join; the rest are on one page by definition. Sites and signatures
+    of more than ``per_task`` regions or pages are kept out of the shuffles, so one huge site fills no task.
     """
     index = site_index(regions) if index is None else index
-    pages = regions.select("site", "page_id").distinct().groupBy("site").agg(F.count("*").alias("site_pages"))
+    once = regions.groupBy("site", "page_id").agg(F.count("*").alias("n"))
+    pages = once.groupBy("site").agg(F.count("*").alias("site_pages"), F.sum("n").alias("_regions"))
     often = index.filter("repeat_pages > 1")
-    out = with_signature(regions).join(pages, "site", "left").join(often, ["site", "signature"], "left")
+    out = join_counted(with_signature(regions), pages, ["site"], "_regions", per_task).drop("_regions")
+    out = join_counted(out, often, ["site", "signature"], "repeat_pages", per_task)
     once = F.when(F.col("signature").isNull(), 0).otherwise(1)
     repeat = F.coalesce("repeat_pages", once)
     return out.withColumns(

@@ -129,7 +129,7 @@ def register(query) -> None:
         before = files.write_scorecard(card, path, "two")
         if before is None or files.write_scorecard(card, path, "three", filtered=True) is not None:
             raise RuntimeError("a run did not see the one before, or a filtered run was written")
-        return spark.read.parquet(f"{path}/history").select("run_id", "type", "n")
+        return files.scorecard_history(spark, path).select("run_id", "type", "n")
 
     @query(f"select page_id, idx, tree_type, round(tree_conf, 3) as tree_conf from {labelled_sql()}")
     def s10_out_of_fold_calls(spark, sf_dir):

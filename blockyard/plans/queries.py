@@ -158,6 +158,14 @@ def a1_site_index(spark, sf_dir):
     return re_.site_index(regions(spark, sf_dir))
 
 
+@query(f"with {INDEX} select * from ix")
+def a1_site_sketches(spark, sf_dir):
+    """The index from sketches, kept for two days and added up; on few pages they are exact."""
+    told = regions(spark, sf_dir)
+    first, second = (re_.site_sketches(told.filter(f"page_id % 2 = {d}")) for d in (0, 1))
+    return re_.sketched_index(re_.merge_sketches(first, second))
+
+
 @query(f"""with {INDEX}, sp as (select site, count(distinct page_id) as site_pages from r group by site)
 select page_id, idx, site_pages, (case when text_length < 6 then 0 else coalesce(repeat_pages, 0) end)::bigint as repeat_pages, site_pages >= 2 and text_length >= 6 and repeat_pages >= 2 as repeated, case when site_pages >= 2 and text_length >= 6 then repeat_pages::double / site_pages else 0.0 end as repeat_frac
 from r join sp using (site) left join ix using (site, signature)""")
@@ -537,6 +545,14 @@ def t3_blocked_updates(spark, sf_dir):
     return rq.blocked_updates(requests(spark, sf_dir), "1 hour")
 
 
+@query(f"""select tab_id, make_timestamp(epoch_us(ts) - epoch_us(ts) % 600000) as window_start, count(*) as blocked from {REQUESTS_SQL} where blocked group by 1, 2""")
+def t3_blocked_updates_600ms(spark, sf_dir):
+    """Each event comes three times, as a source that repeats itself sends it; late and repeated rows count once."""
+    told = requests(spark, sf_dir)
+    again = told.unionByName(told).unionByName(told)
+    return rq.blocked_updates(again.dropDuplicates(["request_id"]))
+
+
 @query(rf"""with n as (select request_id, tab_id, ts, title, regexp_replace(regexp_replace(page_url, '[?#].*$', ''), '/page/[0-9]+/?$', '/') as p from {REQUESTS_SQL} where navigation), c as (select *, lag(p) over w as lp, lag(title) over w as lt, row_number() over w as k from n window w as (partition by tab_id order by ts, request_id))
 select tab_id, request_id as nav_id, title from c where k = 1 or p is distinct from lp or title is distinct from lt""")
 def t4_document_changes(spark, sf_dir):

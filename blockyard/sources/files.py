@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import json
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,23 +93,63 @@ def write_directory(directory: DataFrame, path: str) -> None:
     directory.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("site").parquet(path)
 
 
+MANIFEST = "version long, label string, folder string"
+
+
+def versions(spark: SparkSession, path: str) -> list[tuple[int, str, str]]:
+    """(version, label, folder) of what was published under ``path``, oldest first."""
+    try:
+        rows = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").collect()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = []
+    return sorted((r["version"], r["label"], f"{path}/{r['folder']}") for r in rows)
+
+
+def publish(table: DataFrame, path: str, label: str = "") -> int:
+    """Write ``table`` as a new version under ``path``; gives its number.
+
+    The rows go to a folder of their own. Only when all are there is one row added to the manifest, as one file that is
+    moved into place; until then, and if the write fails, readers see the version before. Nothing is ever overwritten.
+    """
+    spark, folder = table.sparkSession, f"versions/{uuid.uuid4().hex}"
+    table.write.parquet(f"{path}/{folder}")
+    number = max((v for v, _, _ in versions(spark, path)), default=0) + 1
+    spark.createDataFrame([(number, label, folder)], MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    return number
+
+
+def published(spark: SparkSession, path: str) -> DataFrame | None:
+    """The last version published under ``path``, or None."""
+    held = versions(spark, path)
+    return spark.read.parquet(held[-1][2]) if held else None
+
+
 def write_scorecard(card: DataFrame, path: str, run_id: str, filtered: bool = False) -> DataFrame | None:
-    """Append to the history and replace latest; the previous latest, if any, is returned. Filtered runs write nothing."""
+    """Publish the card of a run; the one before, if any, is returned. Filtered runs write nothing."""
     if filtered:
         return None
-    spark = card.sparkSession
-    try:
-        before = materialise(spark.read.parquet(f"{path}/latest"), "scorecard")
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        before = None
-    now = card.withColumn("run_id", F.lit(run_id))
-    now.write.mode("append").parquet(f"{path}/history")
-    now.write.mode("overwrite").parquet(f"{path}/latest")
+    before = published(card.sparkSession, path)
+    publish(card.withColumn("run_id", F.lit(run_id)), path, run_id)
     return before
 
 
+def scorecard_history(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows of all cards, each with its run_id, or None."""
+    held = versions(spark, path)
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [spark.read.parquet(f) for _, _, f in held]) if held else None
+
+
+def publish_directory(directory: DataFrame, path: str) -> int:
+    """Publish entries: sites of ``directory`` replace their older rows, other sites' rows are carried over."""
+    before = published(directory.sparkSession, path)
+    if before is not None:
+        kept = before.join(directory.select("site").distinct(), "site", "left_anti")
+        directory = kept.unionByName(directory, allowMissingColumns=True)
+    return publish(directory, path, "directory")
+
+
 def write_oof(calls: DataFrame, path: str) -> None:
     """Out-of-fold calls (page_id, idx, tree_type, tree_conf), confidence to three decimals."""
     calls.select("page_id", "idx", "tree_type", F.round("tree_conf", 3).alias("tree_conf")).write.mode("overwrite").parquet(path)

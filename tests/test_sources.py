@@ -1,5 +1,8 @@
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
 from blockyard.sources import files
 
 
@@ -28,7 +31,31 @@ def test_directory_and_scorecard(spark, tmp_path):
     card = spark.createDataFrame([("all", 0.5)], "scope string, f1 double")
     assert files.write_scorecard(card, str(tmp_path / "s"), "r1") is None
     assert files.write_scorecard(card, str(tmp_path / "s"), "r2").first()["run_id"] == "r1"
-    assert spark.read.parquet(str(tmp_path / "s/history")).count() == 2
+    assert files.scorecard_history(spark, str(tmp_path / "s")).count() == 2
     assert files.write_scorecard(card, str(tmp_path / "s"), "r3", filtered=True) is None
     files.save_model(spark, {"k": [1.5]}, str(tmp_path / "m"))
     assert files.load_model(spark, str(tmp_path / "m")) == {"k": [1.5]}
+
+
+def test_readers_see_a_whole_card_or_the_one_before(spark, tmp_path):
+    path = str(tmp_path / "cards")
+    assert files.published(spark, path) is None and files.scorecard_history(spark, path) is None
+    old = spark.createDataFrame([("all", 0.5)], "scope string, f1 double")
+    files.write_scorecard(old, path, "r1")
+    reader = files.published(spark, path)
+    broken = old.withColumn("f1", F.raise_error(F.lit("no card")).cast("double"))
+    with pytest.raises(Exception, match="no card"):
+        files.write_scorecard(broken, path, "r2")
+    assert [tuple(r) for r in files.published(spark, path).collect()] == [("all", 0.5, "r1")]
+    files.write_scorecard(old.withColumn("f1", F.lit(0.75)), path, "r3")
+    assert reader.first()["f1"] == 0.5 and files.published(spark, path).first()["f1"] == 0.75
+    assert [v[:2] for v in files.versions(spark, path)] == [(1, "r1"), (2, "r3")] and files.scorecard_history(spark, path).count() == 2
+
+
+def test_published_directory_carries_other_sites_over(spark, tmp_path):
+    kind = "site string, selector string, type string"
+    files.publish_directory(spark.createDataFrame([("a", "x", "text"), ("b", "y", "ad")], kind), str(tmp_path / "d"))
+    before = files.published(spark, str(tmp_path / "d"))
+    files.publish_directory(spark.createDataFrame([("a", "z", "list")], kind), str(tmp_path / "d"))
+    assert {tuple(r) for r in files.published(spark, str(tmp_path / "d")).collect()} == {("a", "z", "list"), ("b", "y", "ad")}
+    assert before.count() == 2

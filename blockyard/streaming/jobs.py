@@ -7,18 +7,67 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.requests import blocked_updates, decide_requests
 from ..sources.files import read_rule_sets, rule_tables
 
 LATE = "10 seconds"
 SILENCE_MS = 3_600_000
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _expire(state: GroupState, rows: pd.DataFrame) -> None:
-    """Let a key's state go when event time is an hour past its last row."""
-    state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int(rows["ts"].max().timestamp() * 1000) + SILENCE_MS))
+class PerTab(StatefulProcessor):
+    """Rows of a tab in order of time, and typed state that goes when event time is an hour past the tab's last row.
+
+    A timer stands at the end of that hour; when it is due and rows came since, it is set anew.
+    """
+
+    order = ["ts"]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "ms long")
+        self.prepare(handle)
+
+    def prepare(self, handle: StatefulProcessorHandle) -> None:
+        raise NotImplementedError
+
+    def each(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        raise NotImplementedError
+
+    def forget(self) -> None:
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        own = pd.concat(list(rows)).sort_values(self.order)
+        if not len(own):
+            return
+        now = int(own["ts"].max().timestamp() * 1000)
+        before = self.last.get()[0] if self.last.exists() else None
+        if before is None:
+            self.handle.registerTimer(max(timerValues.getCurrentWatermarkInMs() + 1, now + SILENCE_MS))
+        self.last.update((max(now, before or now),))
+        yield self.each(key, own)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = self.last.get()[0] + SILENCE_MS if self.last.exists() else 0
+        if due > expiredTimerInfo.getExpiryTimeInMs():
+            self.handle.registerTimer(due)
+        else:
+            self.last.clear()
+            self.forget()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def _by_tab(rows: DataFrame, job: PerTab, schema: str, mode: str) -> DataFrame:
+    """State lies in RocksDB, which typed state needs; the session is told so."""
+    rows.sparkSession.conf.set(PROVIDER, ROCKSDB)
+    return rows.withWatermark("ts", LATE).groupBy("tab_id").transformWithStateInPandas(job, schema, mode, "EventTime")
 
 
 def decide_requests_stream(stream: DataFrame, rules_path: str, out_path: str, checkpoint: str, filters: DataFrame | None = None, allowlist: DataFrame | None = None):
@@ -31,15 +80,16 @@ def decide_requests_stream(stream: DataFrame, rules_path: str, out_path: str, ch
     return stream.writeStream.foreachBatch(decide).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def tab_counters_stream(events: DataFrame) -> DataFrame:
-    """(tab_id, nav_no, requests, blocked) after each batch; a navigation starts new counters. State is three numbers per tab and goes when event time is an hour past the tab's last event; rows later than ten seconds may be dropped."""
+class TabCounters(PerTab):
+    """Three numbers a tab."""
 
-    def count(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        nav, requests, blocked = state.get if state.exists else (0, 0, 0)
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+    order = ["ts", "event_id"]
+
+    def prepare(self, handle):
+        self.held = handle.getValueState("counters", "nav long, requests long, blocked long")
+
+    def each(self, key, rows):
+        nav, requests, blocked = self.held.get() if self.held.exists() else (0, 0, 0)
         out = {}
         for navigation, cut in zip(rows["navigation"], rows["blocked"]):
             if navigation:
@@ -47,58 +97,90 @@ def tab_counters_stream(events: DataFrame) -> DataFrame:
             else:
                 requests, blocked = requests + 1, blocked + int(cut)
                 out[nav] = (requests, blocked)
-        state.update((nav, requests, blocked))
-        _expire(state, rows)
-        yield pd.DataFrame([(key[0], n, r, b) for n, (r, b) in out.items()], columns=["tab_id", "nav_no", "requests", "blocked"])
+        self.held.update((nav, requests, blocked))
+        return pd.DataFrame([(key[0], n, r, b) for n, (r, b) in out.items()], columns=["tab_id", "nav_no", "requests", "blocked"])
 
-    keyed = events.withWatermark("ts", LATE).groupBy("tab_id")
-    return keyed.applyInPandasWithState(count, "tab_id long, nav_no long, requests long, blocked long", "nav long, requests long, blocked long", "update", GroupStateTimeout.EventTimeTimeout)
+    def forget(self):
+        self.held.clear()
 
 
-def blocked_updates_stream(events: DataFrame, every: str = "600 milliseconds") -> DataFrame:
-    """One update per tab and window; rows later than ten seconds are dropped."""
-    return blocked_updates(events.withWatermark("ts", LATE), every)
+def tab_counters_stream(events: DataFrame) -> DataFrame:
+    """(tab_id, nav_no, requests, blocked) after each batch; a navigation starts new counters. State is three numbers per tab and goes when event time is an hour past the tab's last event; rows later than ten seconds may be dropped."""
+    return _by_tab(events, TabCounters(), "tab_id long, nav_no long, requests long, blocked long", "Update")
 
 
-def document_changes_stream(navigations: DataFrame) -> DataFrame:
-    """Navigations that bring a new document; state is each tab's last path and title, and goes an hour of event time after the tab's last one."""
+def blocked_updates_stream(events: DataFrame, every: str = "600 milliseconds", key: str | None = None, observed: str | None = None) -> DataFrame:
+    """One update per tab and window; rows later than ten seconds are dropped.
 
-    def changed(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["ts", "nav_id"])
-        out = []
-        for nav_id, url, title in zip(rows["nav_id"], rows["url"], rows["title"]):
-            path = pd.Series([url]).str.replace(r"[?#].*$", "", regex=True).str.replace(r"/page/\d+/?$", "/", regex=True)[0]
+    With ``key``, a row that comes again within ten seconds of event time counts once. ``observed`` names metrics of each
+    batch, for a listener: rows, rows that are blocked, and those that are late by the clock of the batch itself.
+    """
+    if observed:
+        late = F.sum((F.col("ts") < F.current_timestamp() - F.expr(f"interval {LATE}")).cast("long"))
+        events = events.observe(observed, F.count("*").alias("rows"), F.sum(F.col("blocked").cast("long")).alias("blocked"), late.alias("late"))
+    marked = events.withWatermark("ts", LATE)
+    return blocked_updates(marked if key is None else marked.dropDuplicatesWithinWatermark([key]), every)
+
+
+class DocumentChanges(PerTab):
+    """Each tab's last path and title."""
+
+    order = ["ts", "nav_id"]
+
+    def prepare(self, handle):
+        self.held = handle.getValueState("shown", "path string, title string")
+
+    def each(self, key, rows):
+        last, out = (tuple(self.held.get()) if self.held.exists() else None), []
+        paths = rows["url"].str.replace(r"[?#].*$", "", regex=True).str.replace(r"/page/\d+/?$", "/", regex=True)
+        for nav_id, path, title in zip(rows["nav_id"], paths, rows["title"]):
             if last != (path, title):
                 out.append((key[0], nav_id, title))
             last = (path, title)
-        state.update(last)
-        _expire(state, rows)
-        yield pd.DataFrame(out, columns=["tab_id", "nav_id", "title"])
+        self.held.update(last)
+        return pd.DataFrame(out, columns=["tab_id", "nav_id", "title"])
+
+    def forget(self):
+        self.held.clear()
+
+
+def document_changes_stream(navigations: DataFrame) -> DataFrame:
+    """Navigations that bring a new document; state is each tab's last path and title, and goes an hour of event time after the tab's last one."""
+    return _by_tab(navigations, DocumentChanges(), "tab_id long, nav_id long, title string", "Append")
+
+
+class RecentLog(PerTab):
+    """A list that new ids are added to; it is written anew only when it has grown to twice what is kept."""
+
+    order = ["ts", "request_id"]
 
-    keyed = navigations.withWatermark("ts", LATE).groupBy("tab_id")
-    return keyed.applyInPandasWithState(changed, "tab_id long, nav_id long, title string", "path string, title string", "append", GroupStateTimeout.EventTimeTimeout)
+    def __init__(self, n: int):
+        self.n = n
+
+    def prepare(self, handle):
+        self.ids = handle.getListState("ids", "id long")
+        self.size = handle.getValueState("size", "n long")
+
+    def each(self, key, rows):
+        new = rows["request_id"].tolist()
+        size = (self.size.get()[0] if self.size.exists() else 0) + len(new)
+        self.ids.appendList([(i,) for i in new[-self.n :]])
+        size = min(size, size - len(new) + self.n)
+        held = [r[0] for r in self.ids.get()][-self.n :]
+        if size >= 2 * self.n:
+            self.ids.put([(i,) for i in held])
+            size = len(held)
+        self.size.update((size,))
+        return pd.DataFrame({"tab_id": [key[0]], "ids": [held]})
+
+    def forget(self):
+        self.ids.clear()
+        self.size.clear()
 
 
 def recent_log_stream(requests: DataFrame, n: int = 400) -> DataFrame:
     """(tab_id, ids): the ids of each tab's last ``n`` requests after a batch, newest last; state is that list, and goes an hour of event time after the last request."""
-
-    def keep(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values(["ts", "request_id"])
-        held = (held + rows["request_id"].tolist())[-n:]
-        state.update((held,))
-        _expire(state, rows)
-        yield pd.DataFrame({"tab_id": [key[0]], "ids": [held]})
-
-    keyed = requests.withWatermark("ts", LATE).groupBy("tab_id")
-    return keyed.applyInPandasWithState(keep, "tab_id long, ids array<long>", "ids array<long>", "update", GroupStateTimeout.EventTimeTimeout)
+    return _by_tab(requests, RecentLog(n), "tab_id long, ids array<long>", "Update")
 
 
 def run_available(frame: DataFrame, folder: str, mode: str = "append") -> DataFrame:

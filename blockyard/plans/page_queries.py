@@ -29,8 +29,8 @@ RECTANGLES = f"(select page_id, idx, {', '.join(f'min({c}) as {c}' for c in ('\"
 AREA = "greatest(least(r.\"left\" + r.width, a.\"left\" + a.width) - greatest(r.\"left\", a.\"left\"), 0) * greatest(least(r.top + r.height, a.top + a.height) - greatest(r.top, a.top), 0)"
 SITE = r"regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\.', '')"
 HASH01 = f"(('0x' || substr(md5({SITE}), 1, 8))::bigint::double / 4294967295::double)"
-#: Flags whose patterns look ahead, which DuckDB's cannot.
-AHEAD = {"h:byline", "h:card"}
+#: Patterns that look ahead, which DuckDB's cannot: what must not follow is taken out first, the rest of the pattern is as it was.
+AHEAD = {"h:byline": ("author(?!-bio)", "author-bio", "author"), "h:card": (r"\bcard(?!__heading)", "card__heading", r"\bcard")}
 
 
 def rectangles(spark, sf_dir):
@@ -50,11 +50,19 @@ def own_folder(spark, name):
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def flag_count_sql() -> str:
+def flag_count_sql(source: str | None = None) -> str:
     quote = lambda p: "'" + lowered(p).replace("'", "''") + "'"
-    rows = [(f"h:{k}", f"regexp_matches(hint, {quote(p)})") for k, p in HINTS.items()] + [(f"x:{k}", f"regexp_matches(low, {quote(p)})") for k, p in TEXTS.items()]
-    tests = ", ".join(f"case when {c} then '{n}' end" for n, c in rows if n not in AHEAD)
-    return f"""select flag, count(*) as matches from (select unnest([{tests}]) as flag from (select lower(class) as hint, lower(trim(text)) as low from {regions_sql()})) where flag is not null group by flag"""
+
+    def hinted(k: str, p: str) -> str:
+        if f"h:{k}" not in AHEAD:
+            return f"regexp_matches(hint, {quote(p)})"
+        part, without, alone = AHEAD[f"h:{k}"]
+        others = "|".join(x for x in p.split("|") if x != part)
+        return f"(regexp_matches(hint, {quote(others)}) or regexp_matches(regexp_replace(hint, '{without}', '#', 'g'), {quote(alone)}))"
+
+    rows = [(f"h:{k}", hinted(k, p)) for k, p in HINTS.items()] + [(f"x:{k}", f"regexp_matches(low, {quote(p)})") for k, p in TEXTS.items()]
+    tests = ", ".join(f"case when {c} then '{n}' end" for n, c in rows)
+    return f"""select flag, count(*) as matches from (select unnest([{tests}]) as flag from (select lower(class) as hint, lower(trim(text)) as low from {source or regions_sql()})) where flag is not null group by flag"""
 
 
 def register(query) -> None:
@@ -95,7 +103,35 @@ def register(query) -> None:
     def f9_flag_counts(spark, sf_dir):
         told = regions(spark, sf_dir).select(F.lower("class").alias("hint"), F.lower(F.trim("text")).alias("low"))
         flags = told.withColumns(flag_columns(F.col("hint"), F.col("low"))).select(F.explode(set_flags()).alias("flag"))
-        return flags.filter(~F.col("flag").isin(*AHEAD)).groupBy("flag").agg(F.count("*").alias("matches"))
+        return flags.groupBy("flag").agg(F.count("*").alias("matches"))
+
+    named = ["author author-bio", "author-bio", "p-author-bio", "card card__heading", "card__heading", "my-card", "postcard", "byline", "x-timestamp"]
+    names = "[" + ", ".join(f"'{n}'" for n in named) + "]"
+
+    @query(flag_count_sql(f"(select {names}[(l_orderkey % {len(named)} + 1)::bigint] as class, '' as text from lineitem)"))
+    def f9_name_flags(spark, sf_dir):
+        """Names that a pattern takes or leaves by what follows."""
+        told = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.element_at(F.array(*map(F.lit, named)), (F.col("l_orderkey") % len(named) + 1).cast("int")).alias("hint"), F.lit("").alias("low"))
+        flags = told.withColumns(flag_columns(F.col("hint"), F.col("low"))).select(F.explode(set_flags()).alias("flag"))
+        return flags.groupBy("flag").agg(F.count("*").alias("matches"))
+
+    @query(f"select page_id::varchar as id, {SITE} as site, case when length(html) > 1500 then 'relayout' else 'contained' end as tier, length(html)::int as regions, length(html) % 2 = 0 as domTruncated from pages")
+    def s2_read_captures(spark, sf_dir):
+        """Captures of all pages, written as a file each, as a crawler leaves them."""
+        path = own_folder(spark, "captures")
+        told = files.read_pages(spark, f"{sf_dir}/pages.parquet").withColumn("n", F.length("html"))
+        rows = told.select(F.col("page_id").cast("string").alias("id"), "site", F.expr("case when n > 1500 then 'relayout' else 'contained' end").alias("tier"), F.col("n").cast("int").alias("regions"), (F.col("n") % 2 == 0).alias("domTruncated"))
+        rows.write.option("maxRecordsPerFile", 1).json(path)
+        return files.read_captures(spark, path, "*.json").select("id", "site", "tier", "regions", "domTruncated")
+
+    @query(f"select page_id::varchar as page_id, idx, case when idx % 3 = 0 then 'ok' when idx % 3 = 1 then 'wrong:heading' else 'unsure' end as verdict from {regions_sql()}")
+    def s6_read_judgements(spark, sf_dir):
+        """Verdicts of all regions, a map a file for some pages each."""
+        path = own_folder(spark, "judgements")
+        told = regions(spark, sf_dir).select("page_id", F.concat_ws(":", F.col("page_id").cast("string"), F.col("idx").cast("string")).alias("id"), F.expr("case when idx % 3 = 0 then 'ok' when idx % 3 = 1 then 'wrong:heading' else 'unsure' end").alias("verdict"))
+        maps = told.groupBy(F.floor(F.col("page_id") / 50).alias("some")).agg(F.map_from_entries(F.collect_list(F.struct("id", "verdict"))).alias("m"))
+        maps.select(F.to_json("m").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+        return files.read_judgements(spark, path)
 
     @query(f"""with r as (select *, confidence < 0.5 as low, row_number() over (order by confidence) - 1 as k, count(*) over () as total from {label_run_sql("one")})
     select count(*) as n, count(*) filter (low) as flagged, min(confidence) as min, max(confidence) as max, min(confidence) filter (k >= floor(total * 0.25)) as p25, min(confidence) filter (k >= floor(total * 0.5)) as median, min(confidence) filter (k >= floor(total * 0.75)) as p75,

@@ -18,7 +18,7 @@ from ..operators import scoring as sc
 from ..operators import trees
 from ..operators.extract import extract_regions, page_text
 from ..sources import files
-from .flagship import classify_pages, page_blocks
+from .flagship import classify_pages, count_blocks, learned_stack, page_blocks
 from .derived import REQUESTS_SQL, label_run, label_run_sql, labelled, labelled_sql, regions, regions_sql, requests
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +73,14 @@ def f8_text_features(spark, sf_dir):
     return re_.with_text_features(regions(spark, sf_dir)).select("page_id", "idx", "words", "commas", "sentences", "caps_words", "short", "prose")
 
 
+LINES = r"""list_filter(string_split(trim(coalesce(text, '')), chr(10)), lambda x: trim(x) <> '')"""
+
+
+@query(f"""select page_id, idx, len({LINES})::int as lines, case when len({LINES}) > 0 then length(trim(text))::double / len({LINES}) else 0.0 end as avg_line, ln(1 + length(trim(coalesce(text, '')))::double) as log_length from {regions_sql()}""")
+def f8_line_features(spark, sf_dir):
+    return re_.with_text_features(regions(spark, sf_dir)).select("page_id", "idx", "lines", "avg_line", "log_length")
+
+
 @query(f"select site, count(*) as n, list_sort(list(text_length))[(least(count(*) - 1, floor(count(*) * 0.25)) + 1)::bigint] as p25, list_sort(list(text_length))[(least(count(*) - 1, floor(count(*) * 0.5)) + 1)::bigint] as median from {regions_sql()} group by site")
 def f10_rank_quantiles(spark, sf_dir):
     """Exact ranks per site without gathering a site: counts of equal lengths are summed up in order."""
@@ -590,6 +598,12 @@ def flagship_page_blocks(spark, sf_dir):
     return page_blocks(read(spark, sf_dir, "pages"))
 
 
+@query()
+def flagship_learned_stack(spark, sf_dir):
+    """The whole stack on the odd pages: rules, and trees and a directory that are made from the rules' calls on the even ones."""
+    return count_blocks(learned_stack(read(spark, sf_dir, "pages"), F.pmod("page_id", F.lit(2)) == 0)[0])
+
+
 @query()
 def x5_boosted_trees(spark, sf_dir):
     rows = read(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").alias("features"))

@@ -39,9 +39,9 @@ def read_corpus(spark: SparkSession, regions: str, labels: str, labelled: bool =
     return kept.join(la, ["page_id", "idx"], "left").withColumn("split", split_of(F.col("site")))
 
 
-def read_captures(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON object per file below ``path``."""
-    return spark.read.schema(CAPTURE).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "meta.json").json(path)
+def read_captures(spark: SparkSession, path: str, names: str = "meta.json") -> DataFrame:
+    """One JSON object per file below ``path`` whose name fits ``names``."""
+    return spark.read.schema(CAPTURE).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", names).json(path)
 
 
 def read_rule_sets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -125,3 +125,13 @@ def test_a_frame_is_media_whatever_the_tag(spark):
     zero = {c: F.lit(0) for c in ("text_length", "links", "images", "headings", "controls", "repeats", "paragraphs")}
     rows = rows.withColumns(zero | {"link_ratio": F.lit(0.0)})
     assert [r[0] for r in rows.select(structural_block(has_frame(rows))).collect()] == ["empty", "media", "media", "media"]
+
+
+def test_the_learned_stack_uses_all_three(spark, sf_dir):
+    from blockyard.plans.flagship import count_blocks, learned_stack
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    calls, directory, model = learned_stack(pages, F.pmod("page_id", F.lit(2)) == 0, trees.Options(rounds=2, depth=2, rate=0.4))
+    out = count_blocks(calls).agg(*(F.sum(c).alias(c) for c in ("total", "from_rules", "from_trees", "from_directory"))).first()
+    assert out["total"] == out["from_rules"] + out["from_trees"] + out["from_directory"] > 100 and out["from_directory"] > 0 and out["from_trees"] > 0
+    assert model.names == NAMES and directory.count() > 5 and calls.filter("page_id % 2 = 0").count() == 0

@@ -71,14 +71,15 @@ def matching_pairs(texts: DataFrame, patterns: DataFrame, text: str, regex: str
     nothing. Patterns without any literal text meet all texts, as they must, spread over tasks of ``per_task`` texts.
     """
     held = [c for c in patterns.columns if c != shape]
-    coded = patterns.filter(F.col(regex).isNotNull()).withColumn("_pid", F.xxhash64(*patterns.columns)).dropDuplicates(["_pid"])
-    keys = coded.select("_pid", F.explode(shape_keys(F.col(shape))).alias("_key")).distinct()
+    coded = patterns.filter(F.col(regex).isNotNull()).withColumns({"_pid": F.xxhash64(*patterns.columns), "_keys": shape_keys(F.col(shape))}).dropDuplicates(["_pid"])
+    # Written, so that small tables of patterns are known to be small, and go to the texts instead of shuffling these.
+    coded = materialise(coded.drop(shape), "patterns")
+    keys = coded.select("_pid", F.explode("_keys").alias("_key"))
     kinds = {r[0] for r in keys.select(F.substring("_key", 1, 1)).distinct().collect()}  # five at most
     each = texts.filter(F.col(text).isNotNull()).withColumn("_key", F.explode(text_keys(F.col(text), kinds)))
     known = each.select("_key").join(keys.select("_key").distinct(), "_key", "left_semi").groupBy("_key").agg(F.count("*").alias("_n"))
     chosen = keys.join(known, "_key").groupBy("_pid").agg(F.min(F.struct("_n", "_key")).alias("_c")).select("_pid", F.col("_c._key").alias("_key"), (1 + F.floor(F.col("_c._n") / per_task)).cast("int").alias("_salts"))
     # Keys of very many texts are few: no more than keys of a text times texts, over per_task.
-    # Written once: small tables of patterns are then known to be small, and are sent to the texts instead of shuffling these.
     waiting = materialise(coded.join(chosen, "_pid").select("_key", "_salts", *held), "patterns")
     hot = F.broadcast(waiting.filter("_salts > 1").select("_key", "_salts").distinct())
     dealt = each.join(hot, "_key", "left").withColumn("_salt", F.pmod(F.xxhash64(*texts.columns), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")

@@ -116,7 +116,7 @@ def test_documents_against_plain_python(spark, sf_dir):
 
 
 def test_odd_texts_nulls_repeats_and_clashing_names(spark):
-    rows = [(None, None), (None, ""), (1, "@"), (1, "@@a@b.c@d.e"), (2, "1.2.3.4.5.6.7.8 001.002.0003.255 256.1.1.1"), (3, "x" * 300_000 + "@mail.com"), (4, "9" * 200_000), (5, "1.1 " * 5000), (6, "é" * 9 + "a@b.cd+1 (234) 567-8901"), *([(7, "contact mail: ab1234")] * 5), *planted()]
+    rows = [(None, None), (None, ""), (1, "@"), (1, "@@a@b.c@d.e"), (2, "1.2.3.4.5.6.7.8 001.002.0003.255 256.1.1.1"), (3, "x" * 3000 + "@mail.com"), (4, "9" * 2000), (5, "1.1 " * 300), (6, "é" * 9 + "a@b.cd+1 (234) 567-8901"), *([(7, "contact mail: ab1234")] * 5), *planted()]
     assert run(spark, rows) == plain(rows)
     docs = spark.createDataFrame([(1, "a@b.cd", 5, "old", 3)], "doc_id long, text string, _row long, spans string, _SEEN int")
     got = pd_.find_personal(docs)

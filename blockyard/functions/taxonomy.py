@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Structural types and their block.
@@ -53,6 +55,48 @@ DEMOTE = frozenset(
 TYPES = (*STRUCTURAL, *SLOT_OF)
 
 
+# The types of two earlier lists, in their order.
+V49 = (
+    "title heading summary text byline metadata image gallery video audio table list steps quote code math callout infobox "
+    "footnote references table_of_contents embed comments rating tabs related teaser_card pagination external_links form search "
+    "action_button site_header site_nav section_nav breadcrumbs page_tools account share site_footer cookie_banner ad sponsored "
+    "newsletter subscribe paywall app_nag decoration unclear"
+)
+V109 = (
+    "title heading summary key_points text byline author_bio metadata badge correction disclosure content_warning image gallery "
+    "chart video audio transcript table list steps definition_list faq timeline quote code code_output math callout infobox "
+    "footnote references table_of_contents accordion tabs embed map poll calendar contact_details download comments reviews "
+    "rating reactions vote_controls post_header user_card related teaser_card product_card trending tag_cloud archive_nav "
+    "pagination external_links sitelinks form login_form search filters action_button buy_box cart checkout pricing_table "
+    "settings site_header site_nav section_nav breadcrumbs version_switcher page_tools feedback account share site_footer "
+    "legal_notice skip_link site_notice cookie_banner consent_gate age_gate popup sticky_bar chat_widget ad sponsored newsletter "
+    "subscribe paywall app_nag cross_promo hero feature_grid cta testimonial logo_cloud stats team dashboard_widget data_grid "
+    "toolbar canvas status_message empty_state progress decoration unclear"
+)
+
+#: Named lists of types that a label run may use; ``with_type_list`` adds or replaces one.
+TYPE_LISTS: dict[str, tuple[str, ...]] = {"current": TYPES, "v49": tuple(V49.split()), "v109": tuple(V109.split())}
+
+
+def with_type_list(name: str, types: Iterable[str], lists: dict[str, tuple[str, ...]] | None = None) -> dict[str, tuple[str, ...]]:
+    """The named lists with one more, or another one of that name; a type may stand in it once."""
+    own = tuple(types)
+    if not own or len(set(own)) < len(own):
+        raise ValueError(f"list {name} is empty or has a type twice")
+    return {**(TYPE_LISTS if lists is None else lists), name: own}
+
+
+def type_lists_table(spark: SparkSession, lists: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """(list, type) of all named lists."""
+    return spark.createDataFrame([(n, t) for n, types in (TYPE_LISTS if lists is None else lists).items() for t in types], "list string, type string")
+
+
+def type_lists_sql(lists: dict[str, tuple[str, ...]] | None = None) -> str:
+    """The same table as SQL values."""
+    rows = ", ".join(f"('{n}', '{t}')" for n, types in (TYPE_LISTS if lists is None else lists).items() for t in types)
+    return f"(select * from (values {rows}) as v(list, type))"
+
+
 def disposition(kind: str) -> str:
     return "drop" if kind in DROP else "demote" if kind in DEMOTE else "keep"
 

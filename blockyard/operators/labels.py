@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 COST_PER_MILLION = 0.042  # fixed value: price of a million input tokens
-# How headings of related and of trending sections begin.
-RELATED = r"(?iu)^(related|read more|you may also like|you might also like|recommended( for you)?|see also|more (from|on|like) |also (in|on) |further reading|more stories|explore more|next up|up next|discover more|you.ll also love|most-saved)"
-TRENDING = r"(?iu)^(most (read|popular|viewed|shared|watched|commented)|trending|popular|top (stories|picks|rated)|hot network|editor.?s picks|best ?sellers?)"
 
 
 def rank_probabilities(rows: DataFrame) -> DataFrame:
     """Adds choice, confidence, margin and top (five of type and p) for the map column probabilities; ties by name.
 
-    The margin of a single class is 1.
+    The margin of a single class is 1. Without any class (null or empty map) choice, confidence and margin are null.
     """
     entries = F.transform(F.map_entries("probabilities"), lambda e: F.struct((-e["value"]).alias("by"), e["key"].alias("type"), F.round(e["value"], 3).alias("p")))
     ranked = rows.withColumn("_r", F.array_sort(entries))
-    gap = F.when(F.size("_r") > 1, F.round(F.col("_r")[1]["by"] - F.col("_r")[0]["by"], 3)).otherwise(1.0)
-    return ranked.withColumns({"choice": F.col("_r")[0]["type"], "confidence": F.col("_r")[0]["p"], "margin": gap, "top": F.transform(F.slice("_r", 1, 5), lambda x: F.struct(x["type"].alias("type"), x["p"].alias("p")))}).drop("_r")
+    first, second = F.get("_r", F.lit(0)), F.get("_r", F.lit(1))
+    gap = F.when(F.size("_r") > 1, F.round(second["by"] - first["by"], 3)).when(F.size("_r") == 1, 1.0)
+    return ranked.withColumns({"choice": first["type"], "confidence": first["p"], "margin": gap, "top": F.transform(F.slice("_r", 1, 5), lambda x: F.struct(x["type"].alias("type"), x["p"].alias("p")))}).drop("_r")
 
 
 def flag_labels(labels: DataFrame, below: float = 0.5, tie: float = 0.1) -> DataFrame:
@@ -34,23 +34,6 @@ def apply_verdicts(labels: DataFrame, judgements: DataFrame) -> DataFrame:
     return out.withColumn("final", F.when(wrong, F.substring_index("review", ":", -1)).otherwise(F.col("choice"))).withColumn("review", F.when(wrong, "wrong").otherwise(F.col("review")))
 
 
-def apply_policies(labels: DataFrame) -> DataFrame:
-    """Changes final by the label policies and adds the policy's name; rows carry tag, text and text_length of their region.
-
-    A short heading stays a heading; cards right after a short heading that names related or trending content take its
-    type. The first policy that applies wins.
-    """
-    page = Window.partitionBy("page_id").orderBy("idx")
-    prev_short = F.coalesce(F.lag("text_length").over(page) < 40, F.lit(False))
-    prev_text = F.coalesce(F.lag("text").over(page), F.lit(""))
-    is_heading = F.col("tag").rlike("^h[1-6]$") & (F.col("text_length") < 40) & F.col("final").isin("related", "trending")
-    cards = (F.col("final") == "teaser_card") & prev_short
-    policy = F.when(is_heading, "heading-is-heading").when(cards & prev_text.rlike(RELATED), "related-slot").when(cards & prev_text.rlike(TRENDING), "trending-slot")
-    named = labels.withColumn("policy", policy)
-    new = F.when(F.col("policy") == "heading-is-heading", "heading").when(F.col("policy") == "related-slot", "related").when(F.col("policy") == "trending-slot", "trending")
-    return named.withColumn("final", F.coalesce(new, "final"))
-
-
 def run_stats(labels: DataFrame, below: float = 0.5) -> DataFrame:
     """One row: n, flagged, min, p25, median, p75 and max of confidence, tokens and cost."""
     c = F.col("confidence")
@@ -106,6 +89,25 @@ def unused_types(labels: DataFrame, types: DataFrame) -> DataFrame:
     return types.select("type").join(labels.select(F.col("choice").alias("type")).distinct(), "type", "left_anti")
 
 
+def within_types(rows: DataFrame, types: Sequence[str]) -> DataFrame:
+    """The map column probabilities limited to the listed types, scaled to a sum of 1.
+
+    Rank the result anew. A row whose types are all unlisted, or have no probability, gets an empty map; null stays null.
+    """
+    listed = F.array(*map(F.lit, types)).cast("array<string>")
+    total = F.aggregate(F.map_values("_kept"), F.lit(0.0), lambda a, x: a + x)
+    kept = rows.withColumn("_kept", F.map_filter("probabilities", lambda k, v: F.array_contains(listed, k) & (v > 0)))
+    return kept.withColumn("probabilities", F.transform_values("_kept", lambda k, v: v / total)).drop("_kept")
+
+
+def list_use(labels: DataFrame, lists: DataFrame) -> DataFrame:
+    """(list, types, used, labels, outside) of every list of types (list, type): how many types it has and how many of them a run chose, how many labels have a choice, and how many of these it does not know."""
+    chosen = labels.filter("choice is not null").groupBy(F.col("choice").alias("type")).agg(F.count("*").alias("n"))
+    total = chosen.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("labels")).scalar()
+    known = lists.distinct().join(chosen, "type", "left").groupBy("list").agg(F.count("*").alias("types"), F.count("n").alias("used"), F.coalesce(F.sum("n"), F.lit(0)).alias("known"))
+    return known.select("list", "types", "used", total.alias("labels"), (total - F.col("known")).alias("outside"))
+
+
 def unlabelled(regions: DataFrame, labels: DataFrame) -> DataFrame:
     return regions.join(labels.select("page_id", "idx"), ["page_id", "idx"], "left_anti")
 

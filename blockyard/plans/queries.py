@@ -17,6 +17,7 @@ from ..operators import requests as rq
 from ..operators import scoring as sc
 from ..operators import trees
 from ..operators.extract import extract_regions, page_text
+from ..operators.policies import apply_policies
 from ..sources import files
 from .flagship import classify_pages, count_blocks, learned_stack, page_blocks
 from .derived import REQUESTS_SQL, label_run, label_run_sql, labelled, labelled_sql, regions, regions_sql, requests
@@ -272,7 +273,7 @@ p as (select *, case when regexp_matches(tag, '^h[1-6]$') and text_length < 40 a
 when fin = 'teaser_card' and coalesce(lag(text_length) over w < 40, false) and regexp_matches(lag(text) over w, '(?i)^(related|see also|more stories|up next)') then 'related-slot' end as policy from v window w as (partition by page_id order by idx))
 select page_id, idx, review, policy, case policy when 'heading-is-heading' then 'heading' when 'related-slot' then 'related' else fin end as final from p""")
 def j11_apply_review(spark, sf_dir):
-    return la.apply_policies(la.apply_verdicts(ranked_run(spark, sf_dir), judgements(spark, sf_dir))).select("page_id", "idx", "review", "policy", "final")
+    return apply_policies(la.apply_verdicts(ranked_run(spark, sf_dir), judgements(spark, sf_dir))).select("page_id", "idx", "review", "policy", "final")
 
 
 @query(f"select page_id, idx, choice from {FLAGGED} where not flagged order by md5(page_id::varchar || ':' || idx::varchar || ':42'), page_id, idx limit 50")
@@ -639,8 +640,9 @@ def s9_model_card(spark, sf_dir):
     return spark.createDataFrame([(again.classes, again.names, again.options["rounds"], len(again.trees), held["n"], held["trees"])], "classes array<string>, features array<string>, rounds int, grown int, held_out long, right long")
 
 
-from . import page_queries, report_queries, stream_queries  # noqa: E402  register further queries
+from . import page_queries, registry_queries, report_queries, stream_queries  # noqa: E402  register further queries
 
 page_queries.register(query)
 report_queries.register(query)
+registry_queries.register(query)
 stream_queries.register(query)

@@ -135,3 +135,12 @@ def test_the_learned_stack_uses_all_three(spark, sf_dir):
     out = count_blocks(calls).agg(*(F.sum(c).alias(c) for c in ("total", "from_rules", "from_trees", "from_directory"))).first()
     assert out["total"] == out["from_rules"] + out["from_trees"] + out["from_directory"] > 100 and out["from_directory"] > 0 and out["from_trees"] > 0
     assert model.names == NAMES and directory.count() > 5 and calls.filter("page_id % 2 = 0").count() == 0
+
+
+def test_types_by_column_and_sets_without_rules(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "c"), (4, "d"), (None, "e")], "n int, said string")
+    own = RuleSet().add("told", F.col("said"), lambda: F.col("n") <= 2).add("made", "concat(said, '!')", lambda: F.col("n") == 3).add("plain", "text", lambda: F.col("n") >= 3)
+    assert sorted((r["said"] or "", r["type"], r["rule"]) for r in own.classify(rows).collect()) == [("", None, "told"), ("a", "a", "told"), ("c", "c!", "made"), ("d", "text", "plain"), ("e", "unclear", "none")]
+    plain = RuleSet().add("plain", "text", lambda: F.col("n") == 1)
+    assert {r["type"] for r in plain.classify(rows).collect()} == {"text", "unclear"}
+    assert {(r["type"], r["rule"]) for r in RuleSet().classify(rows).collect()} == {("unclear", "none")}

@@ -169,7 +169,7 @@ def a1_site_index(spark, sf_dir):
 
 @query(f"with {INDEX} select * from ix")
 def a1_site_sketches(spark, sf_dir):
-    """The index from sketches, kept for two days and added up; on few pages they are exact."""
+    """The index from sets of pages, kept for two days and added up."""
     told = regions(spark, sf_dir)
     first, second = (re_.site_sketches(told.filter(f"page_id % 2 = {d}")) for d in (0, 1))
     return re_.sketched_index(re_.merge_sketches(first, second))

@@ -50,3 +50,11 @@ def test_sketches_of_days_add_up(spark):
     days = [re_.site_sketches(df.filter(f"page_id % 3 = {d}")) for d in range(3)]
     merged = re_.sketched_index(re_.merge_sketches(re_.merge_sketches(days[0], days[1]), days[2]))
     assert {tuple(r) for r in merged.collect()} == {tuple(r) for r in re_.site_index(df).collect()}
+
+
+def test_days_that_overlap_add_up_exactly(spark):
+    """However many pages a signature has, and whatever their ids."""
+    ids = spark.range(70_000).select(F.expr("case when id % 2 = 0 then id * 1000003 else -id end").alias("page_id"), F.lit("a.example").alias("site"), F.lit(0).alias("idx"), F.lit("p").alias("tag"), F.lit("c").alias("class"))
+    many = ids.withColumns({"text": F.expr("case when page_id % 3 = 0 then 'on every third page' else 'on the other pages' end"), "text_length": F.lit(20)})
+    merged = re_.sketched_index(re_.merge_sketches(re_.site_sketches(many.filter("page_id % 5 < 4")), re_.site_sketches(many.filter("page_id % 5 > 1 or page_id % 5 < 1"))))
+    assert {tuple(r) for r in merged.collect()} == {tuple(r) for r in re_.site_index(many).collect()}

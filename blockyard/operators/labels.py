@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialise
+
 COST_PER_MILLION = 0.042  # fixed value: price of a million input tokens
 
 
@@ -35,13 +37,17 @@ def apply_verdicts(labels: DataFrame, judgements: DataFrame) -> DataFrame:
 
 
 def run_stats(labels: DataFrame, below: float = 0.5) -> DataFrame:
-    """One row: n, flagged, min, p25, median, p75 and max of confidence, tokens and cost."""
+    """One row: n, flagged, min, p25, median, p75 and max of confidence, tokens and cost.
+
+    The labels are read once: everything follows from the counts and tokens of equal confidences.
+    """
+    counted = materialise(labels.groupBy("confidence").agg(F.count("*").alias("c"), F.sum("input_tokens").alias("tokens")), "confidences")
     c = F.col("confidence")
-    sums = labels.agg(
-        F.count("*").alias("n"), F.sum((c < below).cast("long")).alias("flagged"), F.min(c).alias("min"), F.max(c).alias("max"),
-        F.sum("input_tokens").alias("tokens"), F.round(F.sum("input_tokens") * COST_PER_MILLION / 1e6, 6).alias("cost"),
+    sums = counted.agg(
+        F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.sum(F.when(c < below, F.col("c")).when(c.isNotNull(), 0)).alias("flagged"), F.min(c).alias("min"), F.max(c).alias("max"),
+        F.sum("tokens").alias("tokens"), F.round(F.sum("tokens") * COST_PER_MILLION / 1e6, 6).alias("cost"),
     )
-    ranks = ranked_quantiles(labels, "confidence", {"p25": 0.25, "median": 0.5, "p75": 0.75})
+    ranks = quantiles_of_counts(counted, "confidence", {"p25": 0.25, "median": 0.5, "p75": 0.75})
     return sums.withColumn("_one", F.lit(1)).join(ranks.withColumn("_one", F.lit(1)), "_one").drop("_one")  # a row each
 
 
@@ -51,15 +57,19 @@ def latency_stats(labels: DataFrame) -> DataFrame:
 
 
 def ranked_quantiles(values: DataFrame, column: str, shares: dict[str, float]) -> DataFrame:
-    """One row of exact rank quantiles of a large column.
+    """One row of exact rank quantiles of a large column, which is read once: equal values are counted and the counts written."""
+    return quantiles_of_counts(materialise(values.groupBy(column).agg(F.count("*").alias("c")), "counted"), column, shares)
+
+
+def quantiles_of_counts(counted: DataFrame, column: str, shares: dict[str, float]) -> DataFrame:
+    """``ranked_quantiles`` of a stored table of values and how many there are of each (``c``).
 
-    Equal values are counted first; a sketch then cuts the distinct values into up to 1,000 ranges of about equal size,
-    whose sums fit in one row each, and ranks are summed up within a range.
+    A sketch cuts the values into up to 1,000 ranges of about equal size, whose sums fit in one row each, and ranks are
+    summed up within a range.
     """
-    counted = values.groupBy(column).agg(F.count("*").alias("c"))
-    total = values.agg(F.count(column)).first()[0]
     known = counted.filter(F.col(column).isNotNull())
-    cuts = sorted(set(known.agg(F.percentile_approx(column, [i / 1000 for i in range(1, 1000)], 10_000)).first()[0] or []))
+    total, cuts = known.agg(F.sum("c"), F.percentile_approx(column, [i / 1000 for i in range(1, 1000)], 10_000)).first()
+    total, cuts = total or 0, sorted(set(cuts or []))
     spread = known.withColumn("_g", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x <= F.col(column))) if cuts else F.lit(0))
     groups = spread.groupBy("_g").agg(F.sum("c").alias("w"))
     before = groups.select("_g", (F.sum("w").over(Window.orderBy("_g")) - F.col("w")).alias("_before"))

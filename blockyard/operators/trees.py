@@ -54,17 +54,11 @@ class Model:
         out = np.tile(self.base, (len(bins), 1)) if held is None else held.copy()
         for trees in self.trees[since:]:
             for k, nodes in trees.items():
-                at = np.ones(len(bins), np.int64)
-                for node in sorted(nodes):
-                    if len(nodes[node]) == 2:
-                        f, b = nodes[node]
-                        here = at == node
-                        at[here] = 2 * node + (bins[here, f] > b)
                 value = np.zeros(max(nodes) + 1)
                 for node, x in nodes.items():
                     if len(x) == 1:
                         value[node] = x[0]
-                out[:, k] += self.rate * value[at]
+                out[:, k] += self.rate * value[_places(bins, nodes)]
         return out
 
     def bin(self, x: np.ndarray) -> np.ndarray:
@@ -193,6 +187,14 @@ class Cells:
         row, at = np.nonzero(own != self.usual[block])
         return row, self.starts[block][at] + own[row, at]
 
+    def table(self, x: np.ndarray, block: int) -> np.ndarray | None:
+        """The cells of all values, a row per feature, where most values lie outside their usual bins; None elsewhere."""
+        columns = self.blocks[block]
+        own = x[:, columns].T.astype(np.int64)
+        if not columns or 2 * np.count_nonzero(own != self.usual[block][:, None]) < own.size:
+            return None
+        return own + self.starts[block][:, None]
+
     def best(self, hist: np.ndarray, block: int, o: Options) -> tuple[float, int, int]:
         """Gain, feature and bin of the best split in a block's sums (cell, (g, h, count)); -inf if none is allowed."""
         if not self.blocks[block]:
@@ -214,13 +216,14 @@ class Cells:
 
 
 def _places(x: np.ndarray, nodes: dict[int, list]) -> np.ndarray:
-    """The node of a growing tree that each row is in."""
-    at = np.ones(len(x), np.int64)
-    for node in sorted(nodes):
-        if len(nodes[node]) == 2:
-            feature, b = nodes[node]
-            here = at == node
-            at[here] = 2 * node + (x[here, feature] > b)
+    """The node of a tree that each row is in, a level of all rows at a time."""
+    feature, cut = np.full(max(nodes) + 1, -1), np.zeros(max(nodes) + 1, np.int64)
+    for node, v in nodes.items():
+        if len(v) == 2:
+            feature[node], cut[node] = v
+    at, rows = np.ones(len(x), np.int64), np.arange(len(x))
+    while (own := feature[at]).max(initial=-1) >= 0:
+        at = np.where(own >= 0, 2 * at + (x[rows, own] > cut[at]), at)
     return at
 
 
@@ -275,8 +278,10 @@ def train_models(rows: DataFrame, label: str, dims: int, members: dict[str, Colu
     if not any(own):
         return {}
     stored = lambda df: materialise(df, "tree-rows").coalesce(parts_of_rows)
-    parts_of_rows = 1 + sum(r["count"] for r in counts) * (len(models) * dims + 8 * sum(len(m.classes) for m in models)) // (1 << 22)
-    data, since = stored(ready.filter("member <> 0").mapInArrow(to_bins, kind)), 0
+    # A few MB of rows a task; where that leaves cores idle, less.
+    held = sum(r["count"] for r in counts) * (len(models) * dims + 8 * sum(len(m.classes) for m in models))
+    parts_of_rows = max(1 + (held >> 22), min(spark.sparkContext.defaultParallelism, 1 + (held >> 18)))
+    data, since = stored(ready.filter("member <> 0").repartition(parts_of_rows).mapInArrow(to_bins, kind)), 0
     lanes = -(-parts_of_rows // LANES)
     rng = np.random.default_rng(o.seed)
     for round_ in range(o.rounds):
@@ -299,9 +304,10 @@ def train_models(rows: DataFrame, label: str, dims: int, members: dict[str, Colu
             open_nodes = [(i, k, node) for i, t in enumerate(trees) for k, nodes in t.items() for node, x in nodes.items() if x == []]
             if not open_nodes:
                 break
-            state = spark.sparkContext.broadcast((models, trees, cells, codes, salt, since))
+            state, leaf = spark.sparkContext.broadcast((models, trees, cells, codes, salt, since)), depth == o.depth
+            blocks = [1 if leaf else len(c.blocks) for c in cells]  # leaves need no cells but that of the totals
 
-            def sums(batches, state=state):
+            def sums(batches, state=state, leaf=leaf):
                 models, trees, cells, codes, salt, since = state.value
                 lane = TaskContext.get().partitionId() % lanes
                 total: dict[tuple, np.ndarray] = {}
@@ -322,7 +328,8 @@ def train_models(rows: DataFrame, label: str, dims: int, members: dict[str, Colu
                                 continue
                             own, target = x[i][used], codes[i][y[used]]
                             p = softmax(m.scores(own, held[i][used], since))
-                            entries = [cells[i].entries(own, b) for b in range(len(cells[i].blocks))]
+                            tables = [] if leaf else [cells[i].table(own, b) for b in range(len(cells[i].blocks))]
+                            entries = [None if t is not None else cells[i].entries(own, b) for b, t in enumerate(tables)]
                             for k, nodes in trees[i].items():
                                 open_ = [n for n, v in nodes.items() if v == []]
                                 if not open_:
@@ -332,19 +339,31 @@ def train_models(rows: DataFrame, label: str, dims: int, members: dict[str, Colu
                                 at = spot[_places(own, nodes)]
                                 inside = at >= 0
                                 g, h = p[:, k] - (target == k), np.maximum(p[:, k] * (1 - p[:, k]), 1e-6)
-                                for b, (row, cell) in enumerate(entries):
-                                    size = cells[i].size(b)
-                                    hist = total.setdefault((i, k, b), np.zeros((len(open_), size, 3)))
-                                    hit = inside[row]
-                                    place = at[row[hit]] * size + cell[hit]
+                                for b in range(1 if leaf else len(entries)):
+                                    size = 1 if leaf else cells[i].size(b)
+                                    if (hist := total.get((i, k, b))) is None:
+                                        hist = total[i, k, b] = np.zeros((len(open_), size, 3))
                                     for w, v in enumerate((g, h, None)):
-                                        hist[:, :, w] += np.bincount(place, None if v is None else v[row[hit]], len(open_) * size).reshape(len(open_), size)
                                         hist[:, -1, w] += np.bincount(at[inside], None if v is None else v[inside], len(open_))
+                                    if leaf:
+                                        continue
+                                    if (table := tables[b]) is not None:
+                                        table = table if inside.all() else table[:, inside]
+                                        place, of = (table + at[inside] * size).ravel(), lambda v, shape=table.shape: np.broadcast_to(v[inside], shape).ravel()
+                                    else:
+                                        row, cell = entries[b]
+                                        hit = inside[row]
+                                        row = row[hit]
+                                        place, of = at[row] * size + cell[hit], lambda v, row=row: v[row]
+                                    for w, v in enumerate((g, h, None)):
+                                        added = np.bincount(place, None if v is None else of(v), len(open_) * size).reshape(len(open_), size)
+                                        if table is not None:
+                                            added[:, cells[i].starts[b] + cells[i].usual[b]] = 0
+                                        hist[:, :, w] += added
                         if sum(h.nbytes for h in total.values()) > hist_bytes:
                             yield told()
                 yield told()
 
-            leaf = depth == o.depth
             by = ["m", "k", "block", "node"]
 
             def added(batches):
@@ -372,7 +391,7 @@ def train_models(rows: DataFrame, label: str, dims: int, members: dict[str, Colu
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in flat], t) for c, t in enumerate(kinds)], [*by, "gain", "feature", "bin", "value"])
 
             # Sums meet by key, a task's share of the keys within hist_bytes; beyond LANES tasks, in two steps.
-            size = sum(24 * cells[i].size(b) for i, _, _ in open_nodes for b in range(len(cells[i].blocks)))
+            size = sum(24 * (1 if leaf else cells[i].size(b)) for i, _, _ in open_nodes for b in range(blocks[i]))
             tasks = max(1, -(-size * 4 // hist_bytes))
             parts = data.mapInArrow(sums, "m int, k int, block int, node int, lane int, sums binary")
             if lanes > 1:

@@ -1,5 +1,6 @@
 import numpy as np
 
+from blockyard.operators import trees
 from blockyard.operators.trees import Model, Options, cross_validate, predict, softmax, train
 
 
@@ -182,3 +183,21 @@ def test_null_features_and_labels(spark):
     df = spark.createDataFrame(rows, "features array<double>, label string")
     m = train(df, "label", 2, Options(rounds=2, depth=1, row_share=1.1, column_share=1.0))
     assert m.thresholds[0] == [0.0] and predict(df, m).filter("tree_type = label").count() == 20
+
+
+def test_values_in_few_bins_and_in_many_give_the_same_sums():
+    """Features whose values lie mostly in one bin are added up value by value, others bin by bin; leaves need totals alone."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 9, (500, 4)).astype(np.uint8)
+    usual, thresholds = np.array([2, 5, 0, 8]), [[float(i) for i in range(8)]] * 4
+    cells = trees.Cells(thresholds, usual, np.arange(4))
+    table, (row, cell) = cells.table(x, 0), cells.entries(x, 0)
+    dense = np.bincount(table.ravel(), np.broadcast_to(np.arange(500.0), table.shape).ravel(), cells.size(0))
+    dense[cells.starts[0] + usual] = 0
+    assert np.array_equal(dense, np.bincount(cell, np.arange(500.0)[row], cells.size(0)))
+    x[:] = usual
+    assert cells.table(x, 0) is None and not len(cells.entries(x, 0)[0])
+    nodes = {1: [0, 3], 2: [0.5], 3: [1, 4], 6: [0.25], 7: []}
+    x = rng.integers(0, 9, (200, 4)).astype(np.uint8)
+    want = [2 if r[0] <= 3 else 6 if r[1] <= 4 else 7 for r in x]
+    assert trees._places(x, nodes).tolist() == want and trees._places(x, {1: [0.1]}).tolist() == [1] * 200

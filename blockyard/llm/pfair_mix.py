@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -170,8 +171,27 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: in
 def mixed(docs: DataFrame, per_range: int = 20_000, **options) -> DataFrame:
     """The rows of ``docs`` in the order of the mix: partition i has the i-th range of positions, in order.
 
-    Written files are in the order of the mix by name; a reader that deals files anew finds the places by ``mix`` again.
+    Written files are in the order of the mix by name; ``by_files`` finds every row's place in them, however they are dealt.
     """
     placed, slots = _placed(docs, **options)
     ranges = max(1, -(-slots * options.get("block_docs", 64) // per_range))
     return placed.repartitionById(ranges, F.floor(F.col("mix_position") / per_range).cast("int")).sortWithinPartitions("mix_position").select(*docs.columns)
+
+
+def by_files(docs: DataFrame, place: str = "mix_position") -> DataFrame | None:
+    """The rows of ``docs`` with their place (long, from 0) in the Parquet files that they were read from: files by the number of their part.
+
+    Only a row per file is added up. None, if the rows are not those of whole files, each once.
+    """
+    file, row, before = fresh(docs, "_file", "_row", "_before")
+    try:
+        told = docs.metadataColumn("_metadata")
+        read = docs.select(*docs.columns, told["file_path"].alias(file), told["row_index"].alias(row))
+    except AnalysisException:
+        return None
+    sizes = store(read.groupBy(file).agg(F.count("*").alias("n"), (F.max(row) + 1).alias("most"), F.count_distinct(row).alias("once")), "files")
+    if sizes.filter("n <> most or n <> once").count():
+        return None
+    number = F.regexp_extract(F.element_at(F.split(file, "/"), -1), r"^part-(\d+)", 1).try_cast("long")
+    ahead = sizes.select(file, (F.sum("n").over(Window.orderBy(number, file)) - F.col("n")).alias(before))
+    return read.join(F.broadcast(ahead), file).select(*docs.columns, (F.col(before) + F.col(row)).alias(place))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from blockyard.llm.bpe import PATTERN, encode_decode, with_digests
 from blockyard.llm.jaccard_join import one_of_each
-from blockyard.llm.pfair_mix import mix, mixed
+from blockyard.llm.pfair_mix import by_files, mix, mixed
 from blockyard.llm.quality_rules import keep_good
 from blockyard.llm.queries import vocabulary
 from blockyard.llm.scratch import shared_folder, store
@@ -39,8 +39,13 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document with its position in the mix, and the digests of the ids and of the text they decode to."""
-    placed = store(mix(docs.select("doc_id", "source", "text")), "places")
+    """Ids of every document with its position in the mix, and the digests of the ids and of the text they decode to.
+
+    The position is the document's place in the files that the stage before has written; a table of no files is mixed first.
+    """
+    few = docs.select("doc_id", "source", "text")
+    placed = by_files(few)
+    placed = store(mix(few), "places") if placed is None else placed
     coded = with_digests(encode_decode(placed, vocabulary("byte_bpe_50k.json")))
     return coded.select("doc_id", "source", "mix_position", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 

@@ -40,10 +40,17 @@ def read_corpus(spark: SparkSession, regions: str, labels: str, labelled: bool =
 
 
 def read_captures(spark: SparkSession, path: str, names: str = "meta.json") -> DataFrame:
-    """One JSON object per file below ``path`` whose name fits ``names``."""
+    """Captures below ``path`` in files whose name fits ``names``: one JSON object a file, or a list of them (``write_captures``)."""
     return spark.read.schema(CAPTURE).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", names).json(path)
 
 
+def write_captures(captures: DataFrame, path: str, per_file: int = 500) -> None:
+    """Captures as files of JSON lists, about ``per_file`` each: a file a capture costs more than the capture."""
+    lists = max(1, captures.count() // per_file)
+    dealt = captures.groupBy(F.pmod(F.xxhash64("id"), F.lit(lists)).alias("_list")).agg(F.to_json(F.collect_list(F.struct(*captures.columns))).alias("value"))
+    dealt.select("value").write.option("maxRecordsPerFile", 1).text(path)
+
+
 def read_rule_sets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(rules, bad): rule sets by file name, and the files that are no JSON; set_pos follows the file names."""
     raw = spark.read.schema(RULE_SET).option("multiLine", True).option("mode", "PERMISSIVE").json(path)

@@ -59,3 +59,13 @@ def test_published_directory_carries_other_sites_over(spark, tmp_path):
     files.publish_directory(spark.createDataFrame([("a", "z", "list")], kind), str(tmp_path / "d"))
     assert {tuple(r) for r in files.published(spark, str(tmp_path / "d")).collect()} == {("a", "z", "list"), ("b", "y", "ad")}
     assert before.count() == 2
+
+
+def test_captures_are_packed_and_read_again(spark, tmp_path):
+    rows = spark.range(1100).selectExpr("cast(id as string) as id", "concat('s', id % 3) as site", "cast(id as int) as regions", "id % 2 = 0 as domTruncated")
+    files.write_captures(rows, str(tmp_path / "c"), per_file=100)
+    assert 5 < len([f for f in (tmp_path / "c").iterdir() if f.name.startswith("part-")]) <= 11
+    got = files.read_captures(spark, str(tmp_path / "c"), "part-*").select("id", "site", "regions", "domTruncated")
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in rows.collect()} and got.count() == 1100
+    files.write_captures(rows.limit(0), str(tmp_path / "none"))
+    assert files.read_captures(spark, str(tmp_path / "none"), "part-*").count() == 0

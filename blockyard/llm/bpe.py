@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .scratch import store
+from .scratch import small_batches, store
 
 # The public pre-tokenizer's pattern, and the members of its classes below U+0180, where most European text lies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -41,7 +41,7 @@ def _members(kind: str) -> str:
 _L, _N, _S = _members(r"\p{L}"), _members(r"\p{N}"), _members(r"\s")
 _FAST = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 _BEYOND = re.compile("[^\x00-ſ]")
-MOST_CACHED = 250_000
+MOST_CACHED = 1 << 16
 
 
 @functools.cache
@@ -292,7 +292,7 @@ class Coder:
             special = coder.vocabulary.value.special
             cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
             cache = _cache(coder)
-            for batch in tn.slices(batches, 1 << 21):
+            for batch in tn.slices(batches, 1 << 19):
                 texts = []
                 for text in batch.column("text").to_pylist():
                     parts = cut.split(text or "") if cut and any(s in (text or "") for s in special) else [text or ""]
@@ -413,6 +413,7 @@ def build_coder(docs: DataFrame, tokenizer: str, most_words: int = 1 << 17, leas
     BPE file in the tokenizers format.
     """
     spark, vocabulary = docs.sparkSession, Vocabulary.load(tokenizer)
+    small_batches(spark)
 
     def count(batches):
         held: Counter = Counter()
@@ -422,11 +423,11 @@ def build_coder(docs: DataFrame, tokenizer: str, most_words: int = 1 << 17, leas
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["word", "n"])
 
-        for batch in tn.slices(batches):
+        for batch in tn.slices(batches, 1 << 21):
             for text in batch.column("text").to_pylist():
                 if text:
                     held.update(split_words(text))
-            if len(held) > 600_000:
+            if len(held) > 300_000:
                 yield flush()
         yield flush()
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import textnum as tn
 from .components import components
-from .scratch import fresh, store
+from .scratch import fresh, small_batches, store
 
 DEPTH = 3
 
@@ -336,6 +336,7 @@ def _classes(
     """The rows of ``jaccard_join`` with digest (xxhash64 of the text) and class, which names the class even where ids don't; null without shingles."""
     num, den = threshold
     runs = runs_for(num / den, recall)
+    small_batches(docs.sparkSession)
     sketched = store(_sketches(docs, runs, DEPTH, shingle), "sketches")
     nodes = store(
         sketched.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "digest")).alias("one"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("paths").alias("paths"), F.min("doc_id").alias("rep")),

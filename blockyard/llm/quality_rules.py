@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .scratch import fresh, shared_folder, store
+from .scratch import fresh, shared_folder, small_batches, store
 
 ORDER = 5
 BOS, EOS = 2, 3
@@ -85,7 +85,7 @@ def _counts(docs: DataFrame) -> DataFrame:
             return key, np.add.reduceat(c[order], first)
 
         held: dict[str, list] = {}
-        for batch in tn.slices(batches, 1 << 21):
+        for batch in tn.slices(batches, 1 << 19):
             buf, offs = tn.utf8(batch.column("text"))
             key, row = ngrams(buf, offs)
             codes, names = pd.factorize(np.array(batch.column("lang").to_pylist(), object))
@@ -242,7 +242,7 @@ def _scored(docs: DataFrame, frequent: int) -> DataFrame:
 
     def score(batches):
         keys, bits = _arrays(path)
-        for batch in tn.slices(batches, 1 << 21):
+        for batch in tn.slices(batches, 1 << 19):
             buf, offs = tn.utf8(batch.column("text"))
             counts = base_counts(buf, offs, batch.num_rows)
             key, row = ngrams(buf, offs)
@@ -291,6 +291,7 @@ def quality_rules(docs: DataFrame, width: float = 5.0, steady: int = 3000, least
     a row and count in the model. ``docs`` is scanned twice and must not change. At most ``frequent`` n-grams, 12 bytes
     each, are held by a task; they change no result.
     """
+    small_batches(docs.sparkSession)
     scored = _scored(docs, frequent)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .scratch import fresh
+from .scratch import fresh, small_batches
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -98,6 +98,7 @@ def find_secrets(docs: DataFrame, ranks: str, pattern: str, least_ratio: float =
     spans. An older column spans is replaced; rows, repeated ones too, and all other columns pass through.
     """
     docs = docs.drop("spans")
+    small_batches(docs.sparkSession)
     with open(ranks, "rb") as f:
         table = docs.sparkSession.sparkContext.broadcast(f.read())
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))

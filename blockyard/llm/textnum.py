@@ -44,6 +44,7 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = 1 << 23, column: str =
             to = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
             yield batch.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -16,3 +16,12 @@ def test_text_statistics_count_whole_texts(spark):
     row = found.withColumn("disclosure", F.expr(flag_sql("x", "disclosure"))).first()
     assert len(row["text"]) == row["text_length"] > 7000 and row["text"].endswith("a commission")
     assert (row["words"], row["commas"], row["sentences"], row["lines"], row["caps_words"]) == (200 * 8 + 7, 200, 201, 201, 1) and row["disclosure"]
+
+
+def test_flags_look_at_all_pictures(spark):
+    """Five flat pictures are larger than the sixth, which alone is big; icons come last."""
+    flat = "".join(f'<img src=/{i} width=1000 height=70>' for i in range(5))
+    pages = [(1, "https://s.example/x", f"<body><figure>{flat}<img src=/big width=130 height=90></figure></body>"), (2, "https://s.example/y", "<body><figure>" + "<img src=/i width=60 height=60>" * 4 + "<img src=/w width=70 height=10></figure></body>")]
+    one, two = region_features(spark.createDataFrame(pages, PAGES)).orderBy("page_id").collect()
+    assert len(one["pictures"]) == one["images"] == one["wide_images"] == 6 and one["big_image"] and one["image_area"] == 70_000
+    assert len(two["pictures"]) == 5 and not two["icons_only"]

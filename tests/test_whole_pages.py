@@ -34,3 +34,15 @@ def test_every_block_of_a_long_page_is_cleaned(spark):
     calls = classify_pages(pages).select("page_id", "idx", "block", F.col("stack_type").alias("type"))
     blocks = [r["html"] for r in clean_blocks(pages, calls).orderBy("idx").collect()]
     assert len(blocks) == 1800 and "".join(blocks) == inner
+
+
+def test_rules_see_whole_names(spark):
+    """A fifth class, and what stands after the 80th character of a label, an id and a frame's title."""
+    far, prose = "x" * 90, f"<section><p>{LINE * 12}</p></section>"
+    parts = [
+        f"<div class='a1 b2 c3 d4 breadcrumb'>{LINE * 3}<a href=/a>Home</a></div>", f"<div aria-label='{far} breadcrumb'>{LINE * 3}<a href=/a>Home</a></div>",
+        f"<div id='{far}-breadcrumb'>{LINE * 3}<a href=/a>Home</a></div>", f"<iframe title='{far} intercom' src='https://w.example/' width=640 height=360></iframe>",
+    ]
+    pages = spark.createDataFrame([(i, f"https://s{i}.example/x", f"<body><main>{prose}{p}{prose}</main></body>") for i, p in enumerate(parts)], PAGES)
+    rules = classify_pages(pages).filter("class is not null or aria_label is not null or id is not null or frame_host is not null").select("page_id", "rule")
+    assert sorted(map(tuple, rules.collect())) == [(0, "breadcrumbs"), (1, "breadcrumbs"), (2, "breadcrumbs"), (3, "frame-chat")]

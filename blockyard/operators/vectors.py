@@ -17,7 +17,7 @@ from ..functions.taxonomy import TYPES
 from ..functions.text import FNV_OFFSET, FNV_PRIME, bare_tag
 from .rules import CORE
 
-# Names of the slots, sizes of the hashed bags, words looked at.
+# Names of the slots, sizes of the hashed bags, words whose hashes a task keeps at hand.
 NUMBERS = {
     "len": "text_length", "ltr": "if(t = 'a', 1.0, link_ratio)", "links": "links + if(t = 'a', 1, 0) + cover_links", "images": "images", "headings": "headings", "items": "list_items", "rows": "table_rows", "controls": "controls", "paragraphs": "paragraphs",
     "repeats": "repeats", "words": "words", "commas": "commas", "sentences": "sentences", "avgLine": "avg_line", "capsWords": "caps_words", "top": "page_fraction", "height": "height", "pos": "pos", "index": "idx", "repeatPages": "repeat_pages", "repeatFrac": "repeat_frac", "pagesOfSite": "site_pages",
@@ -31,7 +31,7 @@ FLAGS = {
 }
 TAGS = "div p h1 h2 h3 h4 h5 h6 ul ol li a span section article header footer nav aside main table tbody tr td pre code blockquote figure img picture svg video audio canvas iframe form input button select textarea label dl hr font center strong b em small time summary details dialog other".split()
 MARKS = ["none", *"header nav main article section aside footer form dialog role=banner role=navigation role=main role=contentinfo role=complementary role=search role=form role=dialog role=region".split()]
-TEXT_BUCKETS, HINT_BUCKETS, MOST_WORDS = 256, 128, 200
+TEXT_BUCKETS, HINT_BUCKETS, HELD_WORDS = 256, 128, 1 << 19
 ONE_HOT = {"tag": TAGS, "lm": MARKS, "rule": [*CORE.names(), "none"], "heur": list(TYPES)}
 
 NAMES = [
@@ -51,7 +51,7 @@ def token_hash(word: str) -> int:
 def vectorize(calls: DataFrame) -> DataFrame:
     """Adds features, an array of ``NAMES`` slots, to classified regions (type and rule of the cascade and all region features).
 
-    Absent numbers are 0, absent neighbours' lengths and links -1; text words count as shares of the first 200.
+    Absent numbers are 0, absent neighbours' lengths and links -1; text words count as shares of all words of the text.
     """
     spots = {n: i for i, n in enumerate(NAMES)}
     number = F.array(*(F.coalesce(F.expr(e).cast("float"), F.lit(0.0).cast("float")) for e in NUMBERS.values()), *(F.coalesce(F.expr(e).cast("float"), F.lit(0.0).cast("float")) for e in FLAGS.values()))
@@ -71,6 +71,8 @@ def vectorize(calls: DataFrame) -> DataFrame:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
                 n = batch.num_rows
+                if len(hashes) > HELD_WORDS:
+                    hashes.clear()
                 v = np.zeros((n, len(NAMES)), np.float32)
                 v[:, :dense] = np.array(batch.column("_numbers").to_pylist(), np.float32).reshape(n, dense)
                 for column, base, kind, names in bits:
@@ -82,9 +84,9 @@ def vectorize(calls: DataFrame) -> DataFrame:
                         if (spot := spots.get(f"{group}:{x}")) is not None:
                             v[i, spot] = 1
                 for i, (text, hint) in enumerate(zip(batch.column("low").to_pylist(), batch.column("hint").to_pylist())):
-                    words = re.findall(r"[a-zÀ-ɏ]{2,}", text or "")[:MOST_WORDS]
-                    for w in words:
-                        v[i, words_at + of(w) % TEXT_BUCKETS] += 1 / len(words)
+                    words = re.findall(r"[a-zÀ-ɏ]{2,}", text or "")
+                    if words:
+                        v[i, words_at : words_at + TEXT_BUCKETS] = np.bincount([of(w) % TEXT_BUCKETS for w in words], minlength=TEXT_BUCKETS) / len(words)
                     for w in re.findall(r"[a-z]{3,}", hint or ""):
                         v[i, hints_at + of(w) % HINT_BUCKETS] = 1
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, len(NAMES)), pa.int32()), pa.array(v.ravel()))

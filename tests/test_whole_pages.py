@@ -46,3 +46,12 @@ def test_rules_see_whole_names(spark):
     pages = spark.createDataFrame([(i, f"https://s{i}.example/x", f"<body><main>{prose}{p}{prose}</main></body>") for i, p in enumerate(parts)], PAGES)
     rules = classify_pages(pages).filter("class is not null or aria_label is not null or id is not null or frame_host is not null").select("page_id", "rule")
     assert sorted(map(tuple, rules.collect())) == [(0, "breadcrumbs"), (1, "breadcrumbs"), (2, "breadcrumbs"), (3, "frame-chat")]
+
+
+def test_vectors_count_every_word(spark):
+    """300 words of one kind and 100 of another after them."""
+    from blockyard.operators.vectors import NAMES, token_hash, vectorize
+
+    pages = spark.createDataFrame([(1, "https://s.example/x", f"<body><p>{'many ' * 300}{'others ' * 100}</p></body>")], PAGES)
+    v = dict(zip(NAMES, vectorize(classify_pages(pages)).first()["features"]))
+    assert (v[f"w:{token_hash('many') % 256}"], v[f"w:{token_hash('others') % 256}"], v["n:words"]) == (0.75, 0.25, 400)

@@ -10,7 +10,7 @@ from ..operators import trees
 from ..operators.directory import derive_directory, directory_calls, with_selector
 from ..operators.extract import extract_regions
 from ..operators.links import eligible, gate_pages
-from ..operators.rules import CORE, RuleSet, classify_rules, with_flags
+from ..operators.rules import CORE, RuleSet, classify_rules, lower_text, with_flags
 from ..operators.scoring import stack_calls
 from ..operators.vectors import NAMES, vectorize
 from ..sources.shared import materialise
@@ -20,12 +20,13 @@ def region_features(pages: DataFrame) -> DataFrame:
     """Extracted regions with flags, repetition, neighbours and text features.
 
     Extraction and flags are the costly steps and the site index, the page counts and the features all read their rows,
-    so they are written once to the shared folder.
+    so they are written once to the shared folder. Texts travel once, their lower case is made again where it is read.
     """
-    found = materialise(re_.drop_empty(with_flags(extract_regions(pages))), "regions")
+    found = materialise(re_.drop_empty(with_flags(extract_regions(pages)).drop("low")), "regions")
     # Rules cost much time a row, so partitions by page are not merged by their bytes; all later windows use them.
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return re_.with_text_features(re_.with_neighbours(re_.with_repetition(found).repartition(parts, "page_id")))
+    dealt = re_.with_repetition(found).repartition(parts, "page_id")
+    return re_.with_text_features(re_.with_neighbours(dealt)).withColumn("low", lower_text())
 
 
 def classify_pages(pages: DataFrame, directory: DataFrame | None = None, model: trees.Model | None = None, rules: RuleSet = CORE, blend: float = 0.5) -> DataFrame:
